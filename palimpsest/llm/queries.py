@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, secrets
+from . import language, mixing, ngram_join, secrets
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +20,16 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_secrets, op6_language)}
+    return {f.__name__: f for f in (op1_mixing, op3_secrets, op5_ngram_join, op6_language)}
 
 
 OP1_SQL = r"""
