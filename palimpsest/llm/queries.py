@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, mixing, ngram_join, secrets, topk
+from . import fingerprints, language, mixing, ngram_join, secrets, sentencepiece, topk
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir)).drop("rate")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(documents(spark, sf_dir))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -37,7 +41,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op3_secrets, op5_ngram_join, op6_language, op7_fingerprints, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_secrets, op5_ngram_join, op6_language, op7_fingerprints, op10_topk)}
 
 
 OP1_SQL = r"""
