@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, mixing, ngram_join, passages, secrets, sentencepiece, topk
+from . import fingerprints, language, mixing, ngram_join, passages, secrets, sentencepiece, suffix_array, topk
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.strip_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.strip_passages(documents(spark, sf_dir)).drop("kept")
 
@@ -45,7 +49,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_secrets, op5_ngram_join, op6_language, op7_fingerprints, op9_passages, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_secrets, op5_ngram_join, op6_language, op7_fingerprints, op8_suffix_array, op9_passages, op10_topk)}
 
 
 OP1_SQL = r"""

@@ -25,7 +25,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 #: Labelled values that the automata are fitted on, at most; the test of two states' futures; the least mean gain per
 #: character, in nats, of a candidate over ordinary words, and the least length.
-SAMPLE, ALPHA, GAIN, LENGTH = 20_000, 0.05, 1.0, 16
+SAMPLE, ALPHA, GAIN, LENGTH = 4_000, 0.05, 1.0, 16
 
 CLASSES = {c: "0" for c in "0123456789"} | {c: "a" for c in "abcdef"} | {c: "g" for c in "ghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEF"} | {c: "G" for c in "GHIJKLMNOPQRSTUVWXYZ"} | {c: c for c in "+/_.=-"}
 WIDTH = {k: list(CLASSES.values()).count(k) for k in set(CLASSES.values())}
