@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, mixing, ngram_join, passages, secrets, sentencepiece, suffix_array, topk
+from . import fingerprints, language, licenses, mixing, ngram_join, passages, secrets, sentencepiece, suffix_array, topk
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_secrets, op5_ngram_join, op6_language, op7_fingerprints, op8_suffix_array, op9_passages, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_secrets, op4_licenses, op5_ngram_join, op6_language, op7_fingerprints, op8_suffix_array, op9_passages, op10_topk)}
 
 
 OP1_SQL = r"""
@@ -88,4 +92,4 @@ FROM s QUALIFY rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op10_topk": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_licenses": licenses.oracle(), "op10_topk": OP10_SQL}
