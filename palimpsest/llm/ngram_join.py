@@ -20,7 +20,7 @@ from .components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Classes and n-grams in a chunk, at most on average.
-CHUNK_CLASSES, CHUNK_GRAMS = 1_500, 1_500_000
+CHUNK_CLASSES, CHUNK_GRAMS = 4_000, 1_500_000
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 4) -> tuple[int, int]:
@@ -134,26 +134,36 @@ def _overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
         else:
             cells += [a * nb + b, b * nb + a]
     for c in cells:
-        out += np.bincount(c, minlength=na * nb).reshape(na, nb)
+        np.add.at(out.reshape(-1), c, 1)
     return out
 
 
 def _linked(sets: list[np.ndarray], weight: np.ndarray, left: int, at_least: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one task's sets: documents and classes that each is linked to, and the lowest set of its connected part."""
     n = np.array([len(s) for s in sets])
-    a, b = (slice(0, left), slice(left, None)) if left else (slice(None), slice(None))
-    both = _overlaps(sets, left).astype(np.int64)
-    link = both * at_least.denominator >= (n[a][:, None] + n[b][None] - both) * at_least.numerator
+    a, b = (np.arange(left), np.arange(left, len(n))) if left else (np.arange(len(n)),) * 2
+    both = _overlaps(sets, left)
+    link = np.zeros(both.shape, bool)
+    blocks = [slice(i, i + 512) for i in range(0, len(a), 512)]
+    for rows in blocks:
+        common = both[rows].astype(np.int64)
+        link[rows] = common * at_least.denominator >= (n[a[rows]][:, None] + n[b][None] - common) * at_least.numerator
+    del both
     if not left:
         np.fill_diagonal(link, False)
-    docs, classes, label = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.arange(len(n))
-    docs[a], classes[a] = link @ weight[b], link.sum(1)
-    if left:
-        docs[b], classes[b] = link.T @ weight[a], link.sum(0)
+    docs, classes, label = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.arange(len(n), dtype=np.int32)
+    classes[a] = link.sum(1)
+    classes[b] = link.sum(0)
+    for rows in blocks:
+        docs[a[rows]] += link[rows] @ weight[b]
+        if left:
+            docs[b] += weight[a[rows]] @ link[rows]
     while True:
         old = label.copy()
-        label[a] = np.minimum(label[a], np.where(link, label[b][None], len(n)).min(1))
-        label[b] = np.minimum(label[b], np.where(link, label[a][:, None], len(n)).min(0))
+        for rows in blocks:
+            own = np.where(link[rows], label[b][None], np.int32(len(n)))
+            label[a[rows]] = np.minimum(label[a[rows]], own.min(1))
+            label[b] = np.minimum(label[b], np.where(link[rows], label[a[rows]][:, None], np.int32(len(n))).min(0))
         label = label[label]
         if (label == old).all():
             return docs, classes, label
