@@ -85,11 +85,10 @@ def occurrences(p: Phrase) -> str:
 
 def scored(p: Phrase, hits: str | None = None) -> str:
     """SQL of (uid, score) of a phrase."""
-    plain = occurrences(Phrase(p.terms, p.prefix))
     return f"""(SELECT h.uid, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END
       * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS score
       FROM (SELECT uid, count(*) AS tf FROM {hits or occurrences(p)} GROUP BY uid) h JOIN lens ON lens.uid = h.uid, stats,
-      (SELECT count(DISTINCT uid) AS df FROM {plain}))"""
+      (SELECT count(DISTINCT uid) AS df FROM {occurrences(p)}))"""
 
 
 def matched(tree) -> str:

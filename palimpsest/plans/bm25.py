@@ -48,9 +48,9 @@ class Index:
             rows = rows.select("uid", F.col("pos").alias("start"))
         return rows.where("start = 0") if p.initial else rows
 
-    def _scored(self, counts: DataFrame, plain: DataFrame) -> DataFrame:
-        """(uid, tf) -> (uid, score), with the document frequency of the plain phrase."""
-        df = plain.agg(F.countDistinct("uid").alias("df"))
+    def _scored(self, counts: DataFrame, every: DataFrame) -> DataFrame:
+        """(uid, tf) -> (uid, score), with the document frequency among all occurrences of the phrase."""
+        df = every.agg(F.countDistinct("uid").alias("df"))
         return counts.join(self.lengths, "uid").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(self.stats)).select(
             "uid", (idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("length"), F.col("average"))).alias("score")
         )
@@ -82,8 +82,7 @@ class Index:
         """(uid, score) of the documents that a tree matches."""
         if isinstance(tree, Phrase):
             found = self.occurrences(tree)
-            plain = self.occurrences(Phrase(tree.terms, tree.prefix)) if tree.initial else found
-            return self._scored(found.groupBy("uid").agg(F.count("*").alias("tf")), plain)
+            return self._scored(found.groupBy("uid").agg(F.count("*").alias("tf")), found)
         if isinstance(tree, Near):
             return self._near(tree)
         if isinstance(tree, Without):
