@@ -99,8 +99,8 @@ def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -
     return langs, np.vstack([log.T, np.log(priors / max(priors.sum(), 1))[None]]).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...], orders: tuple[int, ...] = ORDERS) -> DataFrame:
-    """The columns named in keep, and lang_pred and score (the language's posterior), for each row, from its whole text.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...], orders: tuple[int, ...] = ORDERS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns named in keep, then the language and its posterior, under the names, for each row, from its whole text.
 
     A null text, or one without a letter, gets `und` and score 0; so does every text if no language was learned.
     """
@@ -125,10 +125,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
                 best[part] = 1 / share.sum(1)
                 for i, k in zip(part, top.tolist(), strict=True):
                     pred[i] = langs[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(best)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(best)], [*keep, *names])
 
     kinds = [f"`{c}` {columns.schema[c].dataType.simpleString()}" for c in keep]
-    return columns.mapInArrow(score, ", ".join([*kinds, "lang_pred string", "score double"]))
+    return columns.mapInArrow(score, ", ".join([*kinds, f"{names[0]} string", f"{names[1]} double"]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -143,4 +143,5 @@ def identify(docs: DataFrame) -> DataFrame:
 def accept(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, unchanged, whose language is recognised with a posterior of `least` or more."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs, model, tuple(docs.columns)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    found = predict(docs, model, tuple(docs.columns), names=("__accept_lang", "__accept_score"))
+    return found.where((F.col("__accept_lang") != UNKNOWN) & (F.col("__accept_score") >= least)).drop("__accept_lang", "__accept_score")

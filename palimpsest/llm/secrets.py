@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,10 +23,13 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
+WORD = re.compile(r"[A-Za-z]{3,}[.,;:!?]?")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: One in so many words of the corpus, by hash, may join the sample of ordinary words.
+WORD_SHARE = 64
 #: Labelled values that the automata are fitted on, at most; the test of two states' futures; the least mean gain per
-#: character, in nats, of a candidate over ordinary words, and the least length.
-SAMPLE, ALPHA, GAIN, LENGTH = 4_000, 0.05, 1.0, 16
+#: character, in nats, of a candidate over ordinary words, the least length; what is added to counts of letter pairs.
+SAMPLE, ALPHA, GAIN, LENGTH, SMOOTH = 4_000, 0.05, 0.75, 16, 0.05
 
 CLASSES = {c: "0" for c in "0123456789"} | {c: "a" for c in "abcdef"} | {c: "g" for c in "ghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEF"} | {c: "G" for c in "GHIJKLMNOPQRSTUVWXYZ"} | {c: c for c in "+/_.=-"}
 WIDTH = {k: list(CLASSES.values()).count(k) for k in set(CLASSES.values())}
@@ -130,14 +134,15 @@ def likelihood(table: dict[int, dict[str, tuple[float, int]]], token: str) -> fl
 
 
 def ordinary(words: list[str]) -> dict[str, float]:
-    """Log-probabilities of character pairs (a word's first after a blank) in ordinary words, add-one smoothed."""
+    """Log-probabilities of character pairs (a word's first after a blank) in ordinary words; SMOOTH is added to each count."""
     pairs: dict[str, int] = defaultdict(int)
     firsts: dict[str, int] = defaultdict(int)
     for w in words:
         for a, b in zip(" " + w, w, strict=False):
             pairs[a + b] += 1
             firsts[a] += 1
-    return {ab: math.log((n + 1) / (firsts[ab[0]] + len(CLASSES))) for ab, n in pairs.items()} | {a: math.log(1 / (n + len(CLASSES))) for a, n in firsts.items()}
+    total = lambda a: firsts[a] + SMOOTH * len(CLASSES)
+    return {ab: math.log((n + SMOOTH) / total(ab[0])) for ab, n in pairs.items()} | {a: math.log(SMOOTH / total(a)) for a in firsts}
 
 
 def plain(model: dict[str, float], token: str) -> float:
@@ -166,7 +171,7 @@ def format_samples(n: int = 200) -> dict[str, list[str]]:
 
 
 def _labelled(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
-    """(kind or "word", value): up to `sample` values, the lowest by a hash of the value and so the same at each run."""
+    """(kind or "word", value): up to `sample` credentials and as many words, the lowest by a hash and so the same at each run."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,13 +180,13 @@ def _labelled(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
                 text = text or ""
                 spans = base_spans(text)
                 found += [(k, ASSIGN.match(text, a, b)[2] if k == "assign" else text[a:b]) for a, _, k, b in spans]
-                if spans:
-                    found += [("word", w) for w in re.findall(r"(?<![A-Za-z0-9])[A-Za-z]{3,}(?![A-Za-z0-9])", text)[:50]]
+                found += [("word", w) for w in set(text.split()) if zlib.crc32(w.encode("utf-8", "replace")) % WORD_SHARE == 0 and WORD.fullmatch(w)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["kind", "value"])
 
     df = docs.select("text").mapInArrow(values, "kind string, value string")
-    rows = df.groupBy("kind", "value").count().orderBy(F.xxhash64("kind", "value"), "kind", "value").limit(sample).collect()
-    return sorted((r["kind"], r["value"][:200]) for r in rows)
+    df = df.select("kind", F.substring("value", 1, 200).alias("value")).distinct()
+    lowest = lambda d: d.orderBy(F.xxhash64("kind", "value"), "kind", "value").limit(sample).collect()
+    return sorted((r["kind"], r["value"]) for d in (df.where("kind <> 'word'"), df.where("kind = 'word'")) for r in lowest(d))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict, dict]:
@@ -189,7 +194,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict, dict]:
     by: dict[str, list[str]] = defaultdict(list)
     for kind, value in _labelled(docs, sample):
         by[kind].append(value)
-    words = by.pop("word", [])
+    words = [w.rstrip(".,;:!?") for w in by.pop("word", [])]
     for kind, more in format_samples().items():
         by[kind] += more
     return {k: Automaton(sorted(v)).table() for k, v in sorted(by.items())}, ordinary(words)
