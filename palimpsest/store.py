@@ -13,7 +13,7 @@ from . import schemas
 from .operators import index, ops
 from .plans.bm25 import Index
 from .plans.search import Searcher
-from .sources import reader
+from .sources import HANDLES, reader
 from .sources.common import Extracted
 from .sources.files import glob_condition, relative
 
@@ -119,7 +119,7 @@ class Store:
         condition = glob_condition(F.col("path"), relative(F.col("path"), path), source.get("include") or (), source.get("exclude") or ())
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         files = files.select(F.lit(source["name"]).alias("source"), F.regexp_replace("path", "^file:/+", "/").alias("source_path"), F.floor(F.unix_micros("modificationTime") / 1_000_000).cast("long").alias("mtime"), F.col("length").alias("size"))
-        files = files.where(glob_condition(F.col("source_path"), relative(F.col("source_path"), path), source.get("include") or (), source.get("exclude") or ()))
+        files = files.where(HANDLES[source["type"]](F.col("source_path")) & glob_condition(F.col("source_path"), relative(F.col("source_path"), path), source.get("include") or (), source.get("exclude") or ()))
         state = self.read("index_state")
         if quick:
             files = index.needs_index(files, state)
