@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -27,7 +28,11 @@ def shared(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    # shuffle files that no plan needs any more go when the driver collects its garbage
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def small(df: DataFrame, rows: int, max_rows: int = 500_000) -> DataFrame:

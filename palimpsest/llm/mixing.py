@@ -52,7 +52,9 @@ def copies(rate: Column, key: Column, seed: str = SEED) -> Column:
 
 def _rates(narrow: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     rates = shared(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    return small(rates, rates.count(), 100_000)
+    # about 16 MB at most: rows, and names that are longer than 16 bytes by how much they are
+    n = rates.agg(F.count("*") + F.coalesce(F.sum(F.octet_length("source")), F.lit(0)) / 16).first()[0]
+    return small(rates, int(n), 200_000)
 
 
 def mix_report(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEQ_BASE, U, encode, mix64, shared, sliding_hash, small, split_words, word_hashes
-from .repeats import by_text, marked, occurrences
+from .common import SEQ_BASE, U, encode, mix64, shared, sliding_hash, split_words, word_hashes
+from .repeats import by_text, ids_repeat, joined_spans, occurrences, with_parts
 
 WINDOW, K = 50, 26
 OTHER_BASE = U(0xA0761D6478BD642F)
@@ -51,17 +51,16 @@ def _windows(texts: DataFrame, window: int, k: int) -> DataFrame:
     return texts.select("d", "mark", "text", "parts").mapInArrow(run, "x long, y long, d long, mark int, at int")
 
 
-def repeated_words(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = WINDOW, k: int = K, repeat: bool = True) -> DataFrame:
     """(d, mark, parts): by text, the word spans (s, e) covered by windows that a document with a smaller doc_id has too."""
-    paths = shared(occurrences(docs, word_items, k, window, True))
+    paths = shared(occurrences(docs, word_items, k, window, True, repeat))
     inside = paths.where((F.col("d") > F.col("low")) & (F.col("last") + k - F.col("first") >= window))
     inside = inside.select("d", "mark", F.col("first").alias("s"), (F.col("last") + k).alias("e"))
     lists = shared(by_text(paths, "lo", "hi", "first", "last"))
-    windows = _windows(marked(docs).join(small(lists, lists.count(), 200_000), ["d", "mark"]), window, k)
-    windows = shared(windows)
+    windows = shared(_windows(with_parts(docs, lists, repeat), window, k))
     lowest = windows.groupBy("x", "y").agg(F.min("d").alias("low"), F.max("d").alias("high")).where("low < high")
     beyond = windows.join(lowest, ["x", "y"]).where("d > low").select("d", "mark", F.col("at").alias("s"), (F.col("at") + window).alias("e"))
-    return by_text(inside.union(beyond), "s", "e")
+    return joined_spans(inside.union(beyond))
 
 
 def strip_passages(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -71,8 +70,9 @@ def strip_passages(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     judged on the input. Words are runs of non-blank characters. Null, empty and shorter texts lose nothing; a null
     doc_id is the smallest; rows that share a doc_id are not earlier than each other. Extra columns are not read.
     """
-    spans = shared(repeated_words(docs, window, k))
-    joined = marked(docs).join(small(spans, spans.count(), 200_000), ["d", "mark"], "left")
+    repeat = ids_repeat(docs)
+    spans = shared(repeated_words(docs, window, k, repeat))
+    joined = with_parts(docs, spans, repeat, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, encode, mix64, pieces, shared, sliding_hash, sliding_min, starts_within
+from .common import U, encode, mix64, pieces, shared, sliding_hash, sliding_min, small, starts_within
 
 #: Turns the texts of a batch into items, 64-bit hashes, and where each text's begin.
 Items = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
+#: Parts of texts that are broadcast, at most.
+PARTS = 400_000
 #: Stands for a null doc_id: before all others.
 NULL_ID = -(1 << 63)
 
@@ -38,6 +40,11 @@ def text_mark(text: str | None) -> int:
     return zlib.crc32(encode(text)) - (1 << 31)
 
 
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether a doc_id, null included, has several rows; only then are texts told apart by a mark."""
+    return bool(docs.groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
 def own_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d")
 
@@ -58,13 +65,8 @@ def minimizers(items: np.ndarray, first: np.ndarray, k: int, window: int) -> tup
     return text, place - base, kmers[place], starts[begin] - base, starts[end] - base
 
 
-def occurrences(docs: DataFrame, items: Items, k: int, window: int, spread: bool) -> DataFrame:
-    """Occurrences of paths of repeated minimizers, (d, mark, path, lo, hi, first, last, low).
-
-    lo to hi are the starts of the windows whose minimizer is in the path, first and last the places of its first and
-    last k-mer, low the smallest d with the path. With spread, a minimizer is repeated if two documents have it, else if
-    it occurs twice. Rows with one doc_id and text count once.
-    """
+def _anchors(docs: DataFrame, items: Items, k: int, window: int, repeat: bool) -> DataFrame:
+    """(a, d, mark, p): the minimizers of every text. p packs the place, and how far before it the windows start and how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,25 +74,42 @@ def occurrences(docs: DataFrame, items: Items, k: int, window: int, spread: bool
             for part in pieces(texts, [len(t or "") for t in texts], 1_000_000):
                 text, place, value, lo, hi = minimizers(*items(part), k, window)
                 ids = batch.column(0).slice(done, len(part)).to_numpy()
-                marks = np.array([text_mark(t) for t in part], np.int32)
+                marks = np.array([text_mark(t) if repeat else 0 for t in part], np.int32)
                 done += len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value.view(np.int64)), pa.array(ids[text]), pa.array(marks[text]), pa.array(place.astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["a", "d", "mark", "place", "lo", "hi"]
-                )
-
-    anchors = docs.select(own_id(), "text").mapInArrow(run, "a long, d long, mark int, place int, lo int, hi int")
-    counts = anchors.groupBy("a").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high"))
-    counts = counts.where("low < high" if spread else "n > 1").drop("high")
-    found = shared(anchors.join(counts, "a"))
-    doc = Window.partitionBy("d", "mark").orderBy("lo")
+                packed = (place << 16) | ((place - lo) << 8) | (hi - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[text]), pa.array(marks[text]), pa.array(packed)], ["a", "d", "mark", "p"])
+
+    return docs.select(own_id(), "text").mapInArrow(run, "a long, d long, mark int, p long")
+
+
+def _repeated(docs: DataFrame, items: Items, k: int, window: int, spread: bool, repeat: bool) -> DataFrame:
+    anchors = _anchors(docs, items, k, window, repeat)
+    counts = anchors.groupBy("a").agg(F.count("*").alias("n"), *([F.min("d").alias("low"), F.max("d").alias("high")] if spread else []))
+    return shared(anchors.join(counts.where("low < high" if spread else "n > 1").drop("high"), "a"))
+
+
+def occurrences(docs: DataFrame, items: Items, k: int, window: int, spread: bool, repeat: bool) -> DataFrame:
+    """Occurrences of paths of repeated minimizers, (d, mark, path, lo, hi, first, last) and, with spread, low.
+
+    lo to hi are the starts of the windows whose minimizer is in the path, first and last the places of its first and
+    last k-mer, low the smallest d with the path. With spread, a minimizer is repeated if two documents have it, else if
+    it occurs twice. Rows with one doc_id are taken to have one text, unless `repeat` says that ids repeat.
+    """
+    if window - k > 254:
+        raise ValueError("a window may hold 255 k-mers at most")
+    found = _repeated(docs, items, k, window, spread, repeat)
+    place = F.shiftright("p", 16)
+    lo = place - F.shiftright("p", 8).bitwiseAND(255)
+    found = found.withColumns({"place": place, "lo": lo, "hi": lo + F.col("p").bitwiseAND(255)}).drop("p")
+    doc = Window.partitionBy("d", "mark").orderBy("place")
     before = lambda c: F.lag(c).over(doc)
     near = before("hi") + 1 == F.col("lo")
     edges = found.withColumn("n_before", before("n")).withColumn("edge", F.when(near, F.xxhash64(before("a"), "a", F.col("place") - before("place"))))
-    edges = shared(edges)
     often = edges.where("edge is not null and n = n_before").groupBy("edge").agg(F.count("*").alias("n_edge"))
-    edges = edges.join(often, "edge", "left").withColumn("new", F.when(F.col("n_edge") == F.col("n"), 0).otherwise(1))
-    runs = edges.withColumn("run", F.sum("new").over(doc)).groupBy("d", "mark", "run")
-    return runs.agg(F.min_by("a", "lo").alias("path"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("place").alias("first"), F.max("place").alias("last"), F.min("low").alias("low")).drop("run")
+    edges = edges.drop("n_before").join(often, "edge", "left").withColumn("new", F.when(F.col("n_edge") == F.col("n"), 0).otherwise(1))
+    runs = edges.drop("edge", "n_edge", "n").withColumn("run", F.sum("new").over(doc)).groupBy("d", "mark", "run")
+    low = [F.min("low").alias("low")] if spread else []
+    return runs.agg(F.min_by("a", "place").alias("path"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("place").alias("first"), F.max("place").alias("last"), *low).drop("run")
 
 
 def by_text(rows: DataFrame, *columns: str) -> DataFrame:
@@ -98,8 +117,24 @@ def by_text(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("d", "mark").agg(F.collect_list(F.struct(*columns)).alias("parts"))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """docs with d and mark; mark is computed beside the texts."""
+def joined_spans(rows: DataFrame) -> DataFrame:
+    """(d, mark, s, e) -> (d, mark, parts): by text, the spans with those that touch or overlap made one."""
+    doc = Window.partitionBy("d", "mark").orderBy("s")
+    apart = F.col("s") > F.max("e").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("island", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    return by_text(rows.groupBy("d", "mark", "island").agg(F.min("s").alias("s"), F.max("e").alias("e")), "s", "e")
+
+
+def with_parts(docs: DataFrame, lists: DataFrame, repeat: bool, how: str = "inner") -> DataFrame:
+    """Texts with their parts. The lists are broadcast if they hold PARTS parts at most, some 15 MB; else both are shuffled."""
+    parts = lists.agg(F.sum(F.size("parts"))).first()[0] or 0
+    return marked(docs, repeat).join(small(lists, parts, PARTS), ["d", "mark"], how)
+
+
+def marked(docs: DataFrame, repeat: bool) -> DataFrame:
+    """docs as (doc_id, d, text, mark)."""
+    if not repeat:
+        return docs.select("doc_id", own_id(), "text", F.lit(0).alias("mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

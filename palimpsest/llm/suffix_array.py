@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, shared, small
-from .repeats import by_text, byte_items, marked, occurrences
+from .common import encode, shared
+from .repeats import by_text, byte_items, ids_repeat, joined_spans, occurrences, with_parts
 
-WINDOW, K = 100, 51
+WINDOW, K = 100, 32
 #: Bytes of stretches in a shard, on average at most.
 SHARD = 2_000_000
 
@@ -229,11 +229,11 @@ def _sorted_shards(rows: DataFrame, window: int) -> DataFrame:
     return rows.select("shard", "d", "mark", "lo", "bytes").mapInArrow(run, "d long, mark int, lo int, s int, e int")
 
 
-def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int = SHARD) -> DataFrame:
+def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int = SHARD, repeat: bool = True) -> DataFrame:
     """(d, mark, parts): by text, the byte spans (s, e) of windows that also start earlier."""
-    paths = shared(occurrences(docs, byte_items, k, window, False))
+    paths = shared(occurrences(docs, byte_items, k, window, False, repeat))
     lists = shared(by_text(paths, "path", "lo", "hi"))
-    seen = shared(_stretches(marked(docs).join(small(lists, lists.count(), 200_000), ["d", "mark"]), window, False))
+    seen = shared(_stretches(with_parts(docs, lists, repeat), window, False))
     first = seen.groupBy("path", "x", "y").agg(F.min(F.struct("d", "mark", "lo")).alias("f"), F.min("size").alias("size"))
     first = shared(first)
     again = seen.join(first.drop("size"), ["path", "x", "y"]).where(F.struct("d", "mark", "lo") != F.col("f"))
@@ -244,12 +244,12 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int
     shards = max(1, -(-total // shard))
     chosen = by_text(chosen.withColumn("hi", F.col("lo") + F.col("size") - window), "path", "lo", "hi")
     chosen = shared(chosen)
-    rows = _stretches(marked(docs).join(small(chosen, chosen.count(), 200_000), ["d", "mark"]), window, True)
+    rows = _stretches(with_parts(docs, chosen, repeat), window, True)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(shards)))
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard")
     starts = _sorted_shards(rows, window)
     partly = starts.select("d", "mark", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e") - 1 + window).alias("e"))
-    return by_text(again.union(partly), "s", "e")
+    return joined_spans(again.union(partly))
 
 
 def strip_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -260,8 +260,9 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
     nothing. A null doc_id is the smallest; different texts of one doc_id follow a hash of theirs, and equal ones lose
     the same. Extra columns are not read.
     """
-    spans = shared(repeated_bytes(docs, window, k))
-    joined = marked(docs).join(small(spans, spans.count(), 200_000), ["d", "mark"], "left")
+    repeat = ids_repeat(docs)
+    spans = shared(repeated_bytes(docs, window, k, repeat=repeat))
+    joined = with_parts(docs, spans, repeat, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
