@@ -170,6 +170,16 @@ class Store:
                 self.replace("hidden_drawers", ops.hide(self.read("hidden_drawers"), request))
         return {"ok": True, "drawer_uid": uid, "dry_run": dry_run, "reason": reason}
 
+    def check(self) -> dict[str, str]:
+        """Tables that can't be read, and why; a snapshot or a new index run brings them back."""
+        bad = {}
+        for name in schemas.TABLES:
+            try:
+                self.read(name).write.format("noop").mode("overwrite").save()
+            except Exception as e:  # noqa: BLE001  any failure to read is what is asked for
+                bad[name] = str(e).partition("\n")[0]
+        return bad
+
     def snapshot(self, path: str) -> None:
         """Copy every table's current rows to another path."""
         other = Store(self.spark, path)
