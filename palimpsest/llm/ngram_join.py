@@ -210,6 +210,23 @@ def _verify(tasks: DataFrame, threshold: float) -> DataFrame:
     return tasks.select("one", "two", "chunk", "class", "size", "grams").mapInArrow(run, "class binary, root binary, docs long, classes long")
 
 
+def _placed(member: DataFrame) -> DataFrame:
+    """(class, n, bucket, members) -> (class, chunk).
+
+    A class's home is its fullest bucket. A home too large for a chunk is dealt into several. Smaller homes that meet the
+    same largest home in a bucket share chunks, each whole in one, so that a large group meets few chunks besides its own.
+    """
+    parts = F.greatest(F.ceil(F.count("*") / CHUNK_CLASSES), F.ceil(F.sum("n") / CHUNK_GRAMS))
+    home = member.groupBy("class", "n").agg(F.max(F.struct("members", "bucket")).alias("home")).select("class", "n", F.col("home.bucket").alias("home"))
+    home = shared(home.join(home.groupBy("home").agg(F.count("*").alias("size"), parts.alias("parts")), "home"))
+    largest = member.select("class", "bucket").join(home, "class").groupBy("bucket").agg(F.max(F.struct("size", "home")).alias("largest"))
+    host = member.select("class", "bucket").join(largest, "bucket").groupBy("class").agg(F.max("largest").alias("largest")).select("class", F.col("largest.home").alias("host"))
+    home = home.join(host, "class")
+    guests = home.where("parts = 1").groupBy("host").agg(parts.alias("guest_parts"))
+    own = F.xxhash64("home", F.pmod(F.xxhash64("class"), F.col("parts")))
+    return home.join(guests, "host", "left").select("class", F.when(F.col("parts") > 1, own).otherwise(F.xxhash64("host", F.pmod(F.xxhash64("home"), F.col("guest_parts")), F.lit("guests"))).alias("chunk"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: doc_id, class_id, copy_id, n_copies, n_links.
 
@@ -226,10 +243,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORD
     member = classes.select("class", "n", F.explode("bands").alias("bucket"))
     full = member.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     member = shared(member.join(full, "bucket"))
-    home = member.groupBy("class", "n").agg(F.max(F.struct("members", "bucket")).alias("home")).select("class", "n", F.col("home.bucket").alias("home"))
-    load = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / CHUNK_CLASSES), F.ceil(F.sum("n") / CHUNK_GRAMS)).alias("parts"))
-    chunk = F.xxhash64("home", F.pmod(F.xxhash64("class"), F.col("parts")))
-    placed = shared(home.join(load, "home").select("class", chunk.alias("chunk")))
+    placed = shared(_placed(member))
     meet = member.join(placed, "class").select("bucket", "chunk").distinct()
     pairs = meet.select("bucket", F.col("chunk").alias("one")).join(meet.select("bucket", F.col("chunk").alias("two")), "bucket").where("one <= two").select("one", "two").distinct()
     alone = placed.groupBy("chunk").count().where("count = 1").select(F.col("chunk").alias("one"))
