@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared
+
 KINDS = ("assign", "access", "hex")
 #: Fixed formats. The groups before a value take either case; a failing match still uses up its text.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -184,7 +186,7 @@ def _labelled(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["kind", "value"])
 
     df = docs.select("text").mapInArrow(values, "kind string, value string")
-    df = df.select("kind", F.substring("value", 1, 200).alias("value")).distinct()
+    df = shared(df.select("kind", F.substring("value", 1, 200).alias("value")).distinct())
     lowest = lambda d: d.orderBy(F.xxhash64("kind", "value"), "kind", "value").limit(sample).collect()
     return sorted((r["kind"], r["value"]) for d in (df.where("kind <> 'word'"), df.where("kind = 'word'")) for r in lowest(d))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, shared
+from .common import encode, pieces, shared
 from .repeats import by_text, byte_items, ids_repeat, joined_spans, occurrences, with_parts
 
 WINDOW, K = 100, 32
@@ -139,24 +139,42 @@ def suffix_array(t: np.ndarray, size: int, depth: int) -> np.ndarray:
     if count == len(place):
         order = np.argsort(names)
     elif count <= 2_048:
-        order = suffix_array(names, count, -(-depth // 2) + 1)
+        order = suffix_array(names.astype(np.int16), count, -(-depth // 2) + 1)
     else:
         order = _doubled(names, -(-depth // 2) + 1)
     return induce(t, small_, place[order], size)
 
 
-def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """By position: the common prefix, up to `most`, of its suffix and the one before it in the order."""
-    padded = np.concatenate([t, np.full(most + 4, -1, t.dtype)])
+def permuted_prefixes(t: np.ndarray, order: np.ndarray, most: int, least: int = 0) -> np.ndarray:
+    """By position: the common prefix, up to `most`, of its suffix and the one before it in the order; keys of t below 2**15.
+
+    Four keys are compared at once while they agree, then one by one. Prefixes shorter than `least` may come out as 0: the
+    last four keys of such a one are looked at first.
+    """
+    # what lies beyond the end is unlike any key, and differs from place to place in neither of the two: an end is met first
+    padded = np.concatenate([t.astype(np.uint64) + np.uint64(1), np.zeros(most + 8, np.uint64)])
+    four = padded[:-3] | padded[1:-2] << np.uint64(16) | padded[2:-1] << np.uint64(32) | padded[3:] << np.uint64(48)
     out = np.zeros(len(t), np.int64)
     live, before, length = order[1:], order[:-1], 0
-    while len(live) and length < most:
-        same = padded[live + length] == padded[before + length]
-        # an end is unlike any other
-        same &= (live + length < len(t)) & (before + length < len(t))
+    if least >= 4:
+        far = four[live + (least - 4)] == four[before + (least - 4)]
+        live, before = live[far], before[far]
+    rest = []
+    while len(live) and length + 4 <= most:
+        same = four[live + length] == four[before + length]
+        rest.append((live[~same], before[~same], length))
         live, before = live[same], before[same]
-        length += 1
+        length += 4
+    rest.append((live, before, length))
+    for live, before, length in rest:
         out[live] = length
+        while len(live) and length < most:
+            same = (padded[live + length] == padded[before + length]) & (padded[live + length] > 0)
+            live, before = live[same], before[same]
+            length += 1
+            out[live] = length
+            if length % 4 == 0 and length + 4 <= most:
+                break
     return out
 
 
@@ -168,7 +186,7 @@ def repeats_of(stretches: list[tuple[tuple, bytes]], window: int) -> list[tuple[
     end = np.cumsum(size)
     data[end - 1] = 0
     order = suffix_array(data, 257, window + 30)
-    common = permuted_prefixes(data, order, window)
+    common = permuted_prefixes(data, order, window, window)
     owner = np.repeat(np.arange(len(size)), size)
     whole = np.arange(len(data)) + window < end[owner]
     joined = (common[order[1:]] >= window) & whole[order[1:]] & whole[order[:-1]]
@@ -193,13 +211,19 @@ def _stretches(texts: DataFrame, window: int, with_bytes: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, mark, text, parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                data = encode(text)
-                cut = [data[p["lo"] : p["hi"] + window] for p in parts]
-                digest = [np.frombuffer(hashlib.blake2b(s, digest_size=16).digest(), np.int64) for s in cut]
-                n = len(parts)
-                columns = [pa.array([p["path"] for p in parts], pa.int64()), pa.array([int(x[0]) for x in digest], pa.int64()), pa.array([int(x[1]) for x in digest], pa.int64()), pa.array(np.full(n, d)), pa.array(np.full(n, mark, np.int32)), pa.array([p["lo"] for p in parts], pa.int32()), pa.array([len(s) for s in cut], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(cut, pa.binary())] * with_bytes, names)
+            d, mark, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            at = lists.offsets.to_numpy().astype(np.int64)
+            path, lo, hi = (lists.values.field(i).to_numpy() for i in range(3))
+            texts = batch.column(2).to_pylist()
+            for rows in pieces(list(range(len(texts))), [len(t or "") for t in texts], 4_000_000):
+                cut = []
+                for i in rows:
+                    data = encode(texts[i])
+                    cut += [data[a : b + window] for a, b in zip(lo[at[i] : at[i + 1]].tolist(), hi[at[i] : at[i + 1]].tolist(), strict=True)]
+                digest = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in cut), np.int64)
+                own, of = slice(at[rows[0]], at[rows[-1] + 1]), np.repeat(rows, np.diff(at)[rows])
+                columns = [path[own], digest[::2], digest[1::2], d[of], mark[of], lo[own], np.array([len(s) for s in cut], np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.array(cut, pa.binary())] * with_bytes, names)
 
     schema = "path long, x long, y long, d long, mark int, lo int, size int" + ", bytes binary" * with_bytes
     return texts.select("d", "mark", "text", "parts").mapInArrow(run, schema)
