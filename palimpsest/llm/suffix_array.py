@@ -222,7 +222,7 @@ def _stretches(texts: DataFrame, window: int, with_bytes: bool) -> DataFrame:
                     cut += [data[a : b + window] for a, b in zip(lo[at[i] : at[i + 1]].tolist(), hi[at[i] : at[i + 1]].tolist(), strict=True)]
                 digest = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in cut), np.int64)
                 own, of = slice(at[rows[0]], at[rows[-1] + 1]), np.repeat(rows, np.diff(at)[rows])
-                columns = [path[own], digest[::2], digest[1::2], d[of], mark[of], lo[own], np.array([len(s) for s in cut], np.int32)]
+                columns = [path[own], digest[::2], digest[1::2], d[of], mark[of].astype(np.int32), lo[own].astype(np.int32), np.array([len(s) for s in cut], np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.array(cut, pa.binary())] * with_bytes, names)
 
     schema = "path long, x long, y long, d long, mark int, lo int, size int" + ", bytes binary" * with_bytes
