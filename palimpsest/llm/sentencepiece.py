@@ -23,7 +23,7 @@ from .common import SEQ_BASE, U, mix64, pieces
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Distinct words whose pieces a worker keeps.
-KEPT = 1_000_000
+KEPT = 400_000
 
 
 @dataclass
@@ -355,7 +355,7 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFrame
         for batch in batches:
             texts = batch.column(1).to_pylist()
             done = 0
-            for part in pieces(texts, [len(t or "") for t in texts], 8_000_000):
+            for part in pieces(texts, [len(t or "") for t in texts], 2_500_000):
                 ids, first = coder.encode(part)
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
                 columns = [batch.column(0).slice(done, len(part)), pa.array(np.diff(first)), lists]
