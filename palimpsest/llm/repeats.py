@@ -22,7 +22,7 @@ from .common import U, encode, mix64, pieces, shared, sliding_hash, sliding_min,
 #: Turns the texts of a batch into items, 64-bit hashes, and where each text's begin.
 Items = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
 #: Parts of texts that are broadcast, at most.
-PARTS = 400_000
+PARTS = 20_000
 #: Stands for a null doc_id: before all others.
 NULL_ID = -(1 << 63)
 
@@ -126,7 +126,7 @@ def joined_spans(rows: DataFrame) -> DataFrame:
 
 
 def with_parts(docs: DataFrame, lists: DataFrame, repeat: bool, how: str = "inner") -> DataFrame:
-    """Texts with their parts. The lists are broadcast if they hold PARTS parts at most, some 15 MB; else both are shuffled."""
+    """Texts with their parts. The lists are broadcast if they hold PARTS parts at most, under 1 MB; else both are shuffled."""
     parts = lists.agg(F.sum(F.size("parts"))).first()[0] or 0
     return marked(docs, repeat).join(small(lists, parts, PARTS), ["d", "mark"], how)
 
