@@ -23,6 +23,8 @@ from .common import U, encode, mix64, pieces, shared, sliding_hash, sliding_min,
 Items = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
 #: Parts of texts that are broadcast, at most.
 PARTS = 20_000
+#: Bits of a place among the k-mers that minimizers are sought in at once; the rest of 64 is for the hash. Longer texts take several turns.
+PLACE_BITS = 24
 #: Stands for a null doc_id: before all others.
 NULL_ID = -(1 << 63)
 
@@ -49,6 +51,17 @@ def own_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("d")
 
 
+def _lowest(kmers: np.ndarray, w: int) -> np.ndarray:
+    """Where the lowest of kmers[i:i+w] is, by the bits of a hash above PLACE_BITS and then by place, for each i."""
+    bits, step = U(PLACE_BITS), (1 << PLACE_BITS) - w + 1
+    out = np.zeros(max(0, len(kmers) - w + 1), np.int64)
+    for a in range(0, len(out), step):
+        own = kmers[a : a + step + w - 1]
+        low = sliding_min((own >> bits << bits) | np.arange(len(own), dtype=U), w)
+        out[a : a + len(low)] = (low & U((1 << PLACE_BITS) - 1)).astype(np.int64) + a
+    return out
+
+
 def minimizers(items: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
     """(text, place, hash, lo, hi) of each run of a text's windows, starts lo to hi, that have one minimizer; items from the text's first."""
     kmers = sliding_hash(items, k)
@@ -56,8 +69,7 @@ def minimizers(items: np.ndarray, first: np.ndarray, k: int, window: int) -> tup
     if not len(starts):
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     kmers = mix64(kmers)
-    low = sliding_min((kmers >> U(24) << U(24)) | np.arange(len(kmers), dtype=U), window - k + 1)[starts]
-    place = (low & U((1 << 24) - 1)).astype(np.int64)
+    place = _lowest(kmers, window - k + 1)[starts]
     text = np.repeat(np.arange(len(n)), n)
     begin = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (text[1:] != text[:-1])]))
     end = np.append(begin[1:], len(starts)) - 1
