@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import U, mix64, pieces, shared, sliding_hash, small, split_words, word_hashes
 from .components import components
@@ -227,16 +228,8 @@ def _placed(member: DataFrame) -> DataFrame:
     return home.join(guests, "host", "left").select("class", F.when(F.col("parts") > 1, own).otherwise(F.xxhash64("host", F.pmod(F.xxhash64("home"), F.col("guest_parts")), F.lit("guests"))).alias("chunk"))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, copy_id, n_copies, n_links.
-
-    n_links counts the other documents whose set of k-word runs has a Jaccard similarity of `threshold` or more; copy_id
-    is the smallest doc_id with the same set, n_copies how many rows have it; class_id is the smallest doc_id that a
-    chain of links leads to. Words are runs of non-blank characters, unchanged. A text of fewer than k words has one run
-    of them all. Null, empty and blank texts have no links and form classes of their own. Repeated rows are copies.
-    Candidates are the pairs of sets that share a band, which a pair at the threshold does with probability `recall`,
-    and a likelier pair more often. Extra columns are not read.
-    """
+def _grouped(docs: DataFrame, threshold: float, k: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, class, n, bands) of each row, and (class, root, class_id, copy_id, size, docs) of classes of several rows or with links; root names the group."""
     sig = shared(_signatures(docs, k, *banding(threshold, recall)))
     classes = sig.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = shared(classes)
@@ -260,8 +253,38 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORD
     info = classes.select("class", "copy_id", "size").join(degree, "class", "left").where("size > 1 or docs is not null")
     info = info.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     lowest = info.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    info = shared(info.join(lowest, "root").select("class", "class_id", "copy_id", "size", F.coalesce("docs", F.lit(0)).alias("docs")))
-    df = sig.select("doc_id", "class").join(small(info, info.count()), "class", "left")
+    info = shared(info.join(lowest, "root").select("class", "root", "class_id", "copy_id", "size", F.coalesce("docs", F.lit(0)).alias("docs")))
+    return sig, info
+
+
+def _with_class(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """docs and each row's class, as __class."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keys = batch.column(at).to_pylist(), []
+            for part in pieces(texts, [len(t or "") for t in texts]):
+                grams, first = shingles(part, k)
+                sets = (np.unique(grams[a:b]) for a, b in zip(first[:-1], first[1:], strict=True))
+                keys += [_class(own) if len(own) else None for own in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "__class"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__class", BinaryType())]))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, copy_id, n_copies, n_links.
+
+    n_links counts the other documents whose set of k-word runs has a Jaccard similarity of `threshold` or more; copy_id
+    is the smallest doc_id with the same set, n_copies how many rows have it; class_id is the smallest doc_id that a
+    chain of links leads to. Words are runs of non-blank characters, unchanged. A text of fewer than k words has one run
+    of them all. Null, empty and blank texts have no links and form classes of their own. Repeated rows are copies.
+    Candidates are the pairs of sets that share a band, which a pair at the threshold does with probability `recall`,
+    and a likelier pair more often. Extra columns are not read.
+    """
+    sig, info = _grouped(docs, threshold, k, recall)
+    df = sig.select("doc_id", "class").join(small(info.drop("root"), info.count()), "class", "left")
     return df.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
@@ -272,13 +295,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORD
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class: that of the smallest doc_id. Texts without a word all stay."""
-    found = near_duplicates(docs, threshold)
-    gone = shared(found.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = shared(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
+    """docs with one row of each class of linked texts: that of the smallest doc_id, where null is the largest. Texts without a word all stay.
+
+    Rows are judged by their own text, whatever other rows have their doc_id; of several with the smallest one, one stays.
+    """
+    sig, info = _grouped(docs, threshold, WORDS, RECALL)
+    classes = small(info.select(F.col("class").alias("__class"), F.col("root").alias("__root"), F.col("class_id").alias("__id")), info.count())
+    found = sig.select("doc_id", F.col("class").alias("__class")).join(classes, "__class")
+    gone = shared(found.where("doc_id <> __id").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = small(gone, gone.count())
+    again = shared(sig.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("__again")))
     if not (n := again.count()):
-        return kept
-    again = small(again, n)
-    same = F.col("doc_id").eqNullSafe(F.col("__again"))
-    return kept.join(again, same, "left_anti").union(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    # an id tells rows apart only where one row has it
+    again, same = small(again.where("__again is not null"), n), F.col("doc_id") == F.col("__again")
+    named = docs.where("doc_id is not null")
+    kept = named.join(again, same, "left_anti").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    rest = _with_class(docs.where("doc_id is null").union(named.join(again, same, "left_semi"))).join(classes, "__class", "left")
+    row = F.struct(*docs.columns)
+    first = rest.where(F.col("doc_id").eqNullSafe(F.col("__id"))).where("__root is not null").groupBy("__root").agg(F.min_by(row, F.struct("__class", "text")).alias("__row"))
+    return kept.union(rest.where("__root is null").select(*docs.columns)).union(first.select("__row.*"))
