@@ -8,6 +8,7 @@ ordinary words.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -27,8 +28,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 WORD = re.compile(r"[A-Za-z]{3,}[.,;:!?]?")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
-#: One in so many words of the corpus, by hash, may join the sample of ordinary words.
-WORD_SHARE = 64
 #: Labelled values that the automata are fitted on, at most; the test of two states' futures; the least mean gain per
 #: character, in nats, of a candidate over ordinary words, the least length; what is added to counts of letter pairs.
 SAMPLE, ALPHA, GAIN, LENGTH, SMOOTH = 4_000, 0.05, 0.75, 16, 0.05
@@ -172,23 +171,67 @@ def format_samples(n: int = 200) -> dict[str, list[str]]:
     return out
 
 
+class _Lowest:
+    """The `most` lowest distinct words by (hash, word) of those it has met."""
+
+    def __init__(self, most: int):
+        self.most, self.heap, self.met = most, [], set()
+
+    def add(self, words: set[str]) -> None:
+        for w in words:
+            h = zlib.crc32(w.encode("utf-8", "replace"))
+            # the heap's first is its highest
+            if len(self.heap) == self.most and (not self.most or h > -self.heap[0][0]):
+                continue
+            if w in self.met or not WORD.fullmatch(w):
+                continue
+            self.met.add(w)
+            heapq.heappush(self.heap, (-h, _Backwards(w)))
+            if len(self.heap) > self.most:
+                self.met.discard(heapq.heappop(self.heap)[1].word)
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        return [("word", w.word, -h) for h, w in self.heap]
+
+
+class _Backwards:
+    """A word that sorts in reverse."""
+
+    def __init__(self, word: str):
+        self.word = word
+
+    def __lt__(self, other: _Backwards) -> bool:
+        return self.word > other.word
+
+
 def _labelled(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
-    """(kind or "word", value): up to `sample` credentials and as many words, the lowest by a hash and so the same at each run."""
+    """(kind or "word", value): up to `sample` credentials and as many words, the lowest by a hash and so the same at each run.
+
+    Each task gives only its own lowest words, which hold all of the table's lowest that it has.
+    """
+    names = ["kind", "value", "hash"]
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lowest = _Lowest(sample)
+
+        def give(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names)
+
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
                 text = text or ""
                 spans = base_spans(text)
-                found += [(k, ASSIGN.match(text, a, b)[2] if k == "assign" else text[a:b]) for a, _, k, b in spans]
-                found += [("word", w) for w in set(text.split()) if zlib.crc32(w.encode("utf-8", "replace")) % WORD_SHARE == 0 and WORD.fullmatch(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], ["kind", "value"])
-
-    df = docs.select("text").mapInArrow(values, "kind string, value string")
-    df = shared(df.select("kind", F.substring("value", 1, 200).alias("value")).distinct())
-    lowest = lambda d: d.orderBy(F.xxhash64("kind", "value"), "kind", "value").limit(sample).collect()
-    return sorted((r["kind"], r["value"]) for d in (df.where("kind <> 'word'"), df.where("kind = 'word'")) for r in lowest(d))
+                found += [(k, ASSIGN.match(text, a, b)[2] if k == "assign" else text[a:b], None) for a, _, k, b in spans]
+                lowest.add(set(text.split()))
+            yield give(found)
+        yield give(lowest.rows())
+
+    df = docs.select("text").mapInArrow(values, "kind string, value string, hash long")
+    df = shared(df.select("kind", F.substring("value", 1, 200).alias("value"), "hash").distinct())
+    lowest = lambda d, h: d.orderBy(h, "kind", "value").limit(sample).collect()
+    found = lowest(df.where("kind <> 'word'"), F.xxhash64("kind", "value")) + lowest(df.where("kind = 'word'"), F.col("hash"))
+    return sorted((r["kind"], r["value"]) for r in found)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict, dict]:
