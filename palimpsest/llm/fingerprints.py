@@ -44,7 +44,10 @@ def sketch(text: Column, k: int = WORDS, fraction: float = FRACTION) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated containment of the one with fewer hashes in the other, 0 to 1; 1 if both sketches are empty, 0 if one is."""
+    """Estimated containment of the one with fewer hashes in the other, 0 to 1; 1 if both sketches are empty, 0 if one is.
+
+    A sketch of one hash that isn't low can't share it with one of low hashes: 0 then says nothing of the texts.
+    """
     both, fewer = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
     return F.when(fewer > 0, both / fewer).when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0))
 
