@@ -3,7 +3,8 @@
 Equal windows share a path of repeated minimizers, so the stretch of text around each occurrence of a path goes to the
 shard of that path. Equal stretches are summed up first: only the earliest of each is sorted. In a shard, suffixes are
 classified, the leftmost-smaller (LMS) substrings sorted and named, their suffixes ordered, and the rest induced bucket by
-bucket, a bucket's whole front at a time. The order is exact to well over a window's length, which is all that is asked.
+bucket, a bucket's whole front at a time. The LMS suffixes are ordered by recursion where their names are 2,048 at most, else
+by prefix doubling, as a pass over so many buckets would be slow. The order is exact to well over a window's length, which is all that is asked.
 """
 
 from __future__ import annotations
