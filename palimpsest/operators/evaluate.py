@@ -82,7 +82,7 @@ def run(drawers: DataFrame, queries: DataFrame, k: int = 10, dataset: str = "syn
     batch = time.perf_counter() - begun
     report = quality(numbered.select("qid", F.col("expected_drawer_uid").alias("uid")), hits, k).first().asDict()
     samples = []
-    for row in numbered.select("query").limit(5).collect():
+    for row in numbered.select("query").toLocalIterator():
         begun = time.perf_counter()
         index.match(literal(row["query"])).orderBy(F.desc("score")).limit(k).collect()
         samples.append(((time.perf_counter() - begun) * 1000,))
