@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import scratch
 from .functions import risk, text
 from .operators import evaluate, extraction, graph, index, ops
 from .operators.rerank import rerank
-from .plans.bm25 import top_per_query
+from .plans.bm25 import Index, top_per_query
 from .plans.match import Both, Either, Near, Phrase, Without, parse
 from .plans.search import Searcher, filtered
+from .sources import export_json, markdown, session_jsonl
 from .sources.files import glob_condition
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +44,26 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.document_drawers(table(spark, sf_dir, "documents"))
 
 
+_ARCHIVES: dict[tuple, tuple[DataFrame, Index]] = {}
+
+
+def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
+    """The documents' drawers and their index as a store holds them: written once for a table's files in a session, then read."""
+    sc, at = spark.sparkContext, spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    key = (sc.applicationId, sf_dir, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    if key not in _ARCHIVES:
+        path = f"{scratch.folder(spark)}/archive-{uuid.uuid4().hex}"
+        drawers = scratch.shared(docs(spark, sf_dir))
+        index.write_index(drawers, path)
+        _ARCHIVES[key] = drawers, index.read_index(spark, path)
+    return _ARCHIVES[key]
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(spark, sf_dir)[0]
+
+
 # ---- SQL building blocks ----
 
 
@@ -115,9 +138,9 @@ def search_query(name: str, raw: str, where: str = "", limit: int = 10, **filter
     tree = parse(raw)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        drawers = docs(spark, sf_dir)
+        drawers, stored_index = archive(spark, sf_dir)
         hidden = drawers.where("rowid % 7 = 0").select("drawer_uid", F.lit(1).alias("hidden_at"), F.lit(None).cast("long").alias("unhidden_at"), F.lit("").alias("reason")) if name == "bm25_hidden" else None
-        found = Searcher(drawers, index.build(drawers), hidden).search(raw, raw=True, limit=limit, **filters)
+        found = Searcher(drawers, stored_index, hidden).search(raw, raw=True, limit=limit, **filters)
         return found.select("rank", "drawer_uid", F.round("score", 9).alias("score"))
 
     QUERIES[name], SQL[name] = run, ranked(tree, where, limit)
@@ -198,6 +221,72 @@ def role_from_path(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", "url", text.role_of_path(F.col("url")).alias("role"))
 
 
+# ---- sources: the tables as the files that readers take ----
+
+SESSION = "'00000000-0000-4000-8000-' || lpad(conv_id::VARCHAR, 12, '0')"
+
+
+def _made(thread: str, source: str, source_id: str) -> str:
+    """SQL of records of conversations that a reader finishes: filtered, numbered in their thread, hashed and chained."""
+    return f"""WITH a AS (SELECT {thread} AS thread_id, {ROLE.replace("WHEN 'model' THEN 'assistant' ", "") if source == "claude_ai" else ROLE} AS role, text AS content, turn, (1700000000 + conv_id * 86400 + turn * 60)::BIGINT AS created_at FROM conversations),
+    b AS (SELECT *, (row_number() OVER (PARTITION BY thread_id ORDER BY turn) - 1)::INTEGER AS position_in_thread, sha256(role || chr(31) || {norm('content')}) AS content_hash FROM a WHERE role IS NOT NULL AND {keep('content')}),
+    c AS (SELECT *, {source_id} AS source_id FROM b), d AS (SELECT *, '{source}:' || source_id || ':' || substr(content_hash, 1, 12) AS drawer_uid FROM c)
+    SELECT drawer_uid, source_id, role, thread_id, lag(drawer_uid) OVER (PARTITION BY thread_id ORDER BY turn) AS parent_uid, position_in_thread, created_at, content FROM d"""
+
+
+READ = ("drawer_uid", "source_id", "role", "thread_id", "parent_uid", "position_in_thread", "created_at", "content")
+
+
+def _conversation_files(spark, sf_dir, path: Column, message: Column, text_of: Callable[[Column], Column]) -> DataFrame:
+    """Files (path, mtime, content) of whole conversations, their messages in order."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(message).alias("line"))
+    files = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"))
+    return files.select(path.alias("path"), F.lit(5).cast("long").alias("mtime"), text_of(F.col("lines.line")).alias("content"))
+
+
+def _time() -> Column:
+    return F.col("conv_id") * 86_400 + F.col("turn") * 60 + 1_700_000_000
+
+
+@query(_made(SESSION, "claude_code", "thread_id || ':' || position_in_thread"))
+def session_logs(spark, sf_dir):
+    message = F.struct(F.col("role").alias("type"), F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message"), (_time() * 1000).cast("double").alias("timestamp"))
+    files = _conversation_files(spark, sf_dir, F.concat(F.lit("/logs/00000000-0000-4000-8000-"), F.lpad(F.col("conv_id").cast("string"), 12, "0"), F.lit(".jsonl")), message, lambda lines: F.array_join(lines, "\n"))
+    return session_jsonl.parse(files).drawers.select(*READ)
+
+
+@query(_made("'c' || conv_id", "claude_ai", "thread_id || ':' || turn"))
+def chat_exports(spark, sf_dir):
+    message = F.struct(F.col("role").alias("sender"), "text", F.date_format(F.timestamp_seconds(_time()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+    whole = lambda lines: F.concat(F.lit('[{"uuid": "c'), F.col("conv_id").cast("string"), F.lit('", "chat_messages": ['), F.array_join(lines, ","), F.lit("]}]"))
+    files = _conversation_files(spark, sf_dir, F.concat(F.lit("/export/"), F.col("conv_id").cast("string"), F.lit("/conversations.json")), message, whole)
+    return export_json.parse(files).drawers.select(*READ)
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS lines FROM documents),
+    m AS (SELECT doc_id, CASE WHEN lines[-1] = '' THEN lines[:-2] ELSE lines END AS lines FROM l),
+    n AS (SELECT doc_id, lines, len(lines) AS n FROM m WHERE len(lines) > 0),
+    c AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'memory/' ELSE 'wiki/' END || doc_id || '.md' AS thread_id, CASE WHEN doc_id % 2 = 0 THEN 'memory' ELSE 'wiki' END AS role, s + 1 AS first_line, CASE WHEN n <= 40 THEN array_to_string(lines, chr(10)) ELSE array_to_string(lines[s + 1 : s + 50], chr(10)) END AS content
+      FROM n, unnest(CASE WHEN n <= 40 THEN [0] ELSE range(0, (greatest(0, ceil((n - 50) / 45.0)) * 45)::BIGINT + 1, 45) END) AS u(s))
+    SELECT 'markdown:' || thread_id || ':' || first_line || ':' || substr(sha256(role || chr(31) || {norm('content')}), 1, 12) AS drawer_uid, role, content FROM c WHERE {keep('content')}"""
+)
+def markdown_files(spark, sf_dir):
+    """Files of more than 40 lines are cut; a tree's own limit is 1,000."""
+    folder = F.when(F.col("doc_id") % 2 == 0, "memory").otherwise("wiki")
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("/notes/"), folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(5).cast("long").alias("mtime"), F.col("text").alias("content"))
+    return markdown.parse(files, "/notes", whole=40).drawers.select("drawer_uid", "role", "content")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN 'caf' || chr(233) || ' ' || doc_id ELSE chr(8220) || 'quoted' || chr(8221) || ' ' || doc_id END AS decoded FROM documents")
+def decode_bytes(spark, sf_dir):
+    """Texts as bytes of UTF-8, UTF-16 with its mark, Latin-1 and Windows-1252."""
+    i = F.col("doc_id").cast("string")
+    content = F.when(F.col("doc_id") % 4 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 4 == 1, F.encode("text", "UTF-16"))
+    content = content.when(F.col("doc_id") % 4 == 2, F.encode(F.concat(F.lit("caf\xe9 "), i), "ISO-8859-1")).otherwise(F.encode(F.concat(F.lit("\x93quoted\x94 "), i), "ISO-8859-1"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.decoded(content).alias("decoded"))
+
+
 # ---- index ----
 
 
@@ -267,15 +356,28 @@ scores AS (SELECT h.qid, h.uid, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 TH
 top AS (SELECT qid, uid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, uid)::INTEGER AS rank FROM scores QUALIFY rank <= 10)"""
 
 
-def batch_hits(spark, sf_dir, drawers=None) -> DataFrame:
-    drawers = docs(spark, sf_dir) if drawers is None else drawers
+def batch_scores(spark, sf_dir) -> DataFrame:
+    """A three-word phrase, the feature shown, of each benchmark item, against all documents."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.slice(text.tokens(F.col("text")), 3, 3).alias("terms"))
-    return top_per_query(index.build(drawers).match_all(queries), 10)
+    return archive(spark, sf_dir)[1].match_all(queries)
 
 
 @query(f"WITH {BATCH_HITS} SELECT qid, rank, uid, round(score, 9) AS score FROM top")
 def bm25_batch(spark, sf_dir):
-    return batch_hits(spark, sf_dir).select("qid", "rank", "uid", F.round("score", 9).alias("score"))
+    return top_per_query(batch_scores(spark, sf_dir), 10).select("qid", "rank", "uid", F.round("score", 9).alias("score"))
+
+
+WHOLE_HITS = f"""{POSTINGS}, q AS (SELECT item_id AS qid, regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}]+') AS terms FROM benchmark),
+hits AS (SELECT qid, p.uid, count(*) AS tf FROM q JOIN posts p ON p.term = terms[1] JOIN toks ON toks.uid = p.uid WHERE t[p.pos + 1 : p.pos + len(terms)] = terms GROUP BY ALL)
+SELECT h.qid, h.uid, tf, round(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))), 9) AS score
+  FROM hits h JOIN (SELECT qid, count(*) AS df FROM hits GROUP BY qid) f USING (qid) JOIN lens ON lens.uid = h.uid, stats"""
+
+
+@query(f"WITH w AS (WITH {WHOLE_HITS}) SELECT qid, uid, score FROM w")
+def bm25_whole(spark, sf_dir):
+    """Every benchmark item's whole text as a phrase."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), text.tokens(F.col("text")).alias("terms"))
+    return archive(spark, sf_dir)[1].match_all(queries).select("qid", "uid", F.round("score", 9).alias("score"))
 
 
 FLAT = norm("text")
@@ -308,13 +410,14 @@ def ansi_strip(spark, sf_dir):
 
 @query(f"WITH {DOCS} SELECT drawer_uid, role, content FROM docs WHERE drawer_uid = (SELECT min(drawer_uid) FROM docs)")
 def fetch_uid(spark, sf_dir):
-    drawers = docs(spark, sf_dir)
-    return drawers.join(F.broadcast(drawers.agg(F.min("drawer_uid").alias("drawer_uid"))), "drawer_uid", "left_semi").select("drawer_uid", "role", "content")
+    drawers, stored_index = archive(spark, sf_dir)
+    first = drawers.agg(F.min("drawer_uid")).first()[0]
+    return Searcher(drawers, stored_index).fetch(first).select("drawer_uid", "role", "content")
 
 
 @query(f"WITH {DOCS} SELECT drawer_uid FROM docs WHERE starts_with(lower(drawer_uid), '12') OR contains(lower(drawer_uid), ':12')")
 def prefix_resolve(spark, sf_dir):
-    return ops.prefix_matches(docs(spark, sf_dir), "12").select("drawer_uid")
+    return ops.prefix_matches(stored(spark, sf_dir), "12").select("drawer_uid")
 
 
 @query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src3') AND doc_id >= 10 AND doc_id <= 900 AND lang = 'en'")
@@ -328,9 +431,8 @@ def metadata_filter(spark, sf_dir):
     SELECT drawer_uid, length(content)::DOUBLE AS score, row_number() OVER (ORDER BY length(content) DESC, b)::INTEGER AS rank FROM best ORDER BY score DESC, b LIMIT 10"""
 )
 def rerank_stub(spark, sf_dir):
-    drawers = docs(spark, sf_dir)
     order = Window.orderBy(F.desc("score"), "rowid", "drawer_uid")
-    best = Searcher(drawers, index.build(drawers)).matches("license").orderBy(F.desc("score"), "rowid", "drawer_uid").limit(30).withColumn("rank", F.row_number().over(order))
+    best = Searcher(*archive(spark, sf_dir)).matches("license").orderBy(F.desc("score"), "rowid", "drawer_uid").limit(30).withColumn("rank", F.row_number().over(order))
     return rerank(best, "license", lambda: lambda pairs: [float(len(c)) for _, c in pairs], 10).select("drawer_uid", "score", "rank")
 
 
@@ -386,7 +488,7 @@ def _seed_sql(name: str, type_: str, aliases: list[str]) -> str:
 
 @query(f"WITH {DOCS} {' UNION ALL '.join(_seed_sql(*s) for s in SEEDS)}")
 def link_seeds(spark, sf_dir):
-    return graph.link(docs(spark, sf_dir), SEEDS)
+    return graph.link(stored(spark, sf_dir), SEEDS)
 
 
 @query(
@@ -406,7 +508,7 @@ def _graph(spark, sf_dir):
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     entity = lambda df, i, name: df.select(F.col(i).cast("long").alias("id"), F.col(name).alias("name"), F.lit("place").alias("type"))
     entities = entity(n, "n_nationkey", "n_name").union(entity(r.withColumn("id", F.col("r_regionkey") + 1000), "id", "r_name"))
-    drawers = docs(spark, sf_dir)
+    drawers = stored(spark, sf_dir)
     mentions = drawers.select("drawer_uid", (F.col("rowid") % 25).alias("entity_id"), F.lit(1.0).alias("confidence"), F.lit("linker").alias("detected_by"), (F.col("rowid") % 10).alias("detected_at"))
     edges = n.select(F.col("n_nationkey").cast("long").alias("subject_id"), F.lit("PART_OF").alias("predicate"), (F.col("n_regionkey") + 1000).cast("long").alias("object_id"), F.lit(None).cast("long").alias("valid_from"), F.lit(None).cast("long").alias("valid_to"), F.lit(None).cast("string").alias("drawer_uid"))
     return entities, mentions, edges, drawers
@@ -439,7 +541,7 @@ def graph_query(spark, sf_dir):
 @query("SELECT n_nationkey::BIGINT AS subject_id, r_name AS object FROM nation JOIN region ON r_regionkey = n_regionkey")
 def rel_by_predicate(spark, sf_dir):
     entities, _, edges, _ = _graph(spark, sf_dir)
-    return edges.where("predicate = 'PART_OF'").join(F.broadcast(entities.select(F.col("id").alias("object_id"), F.col("name").alias("object"))), "object_id").select("subject_id", "object")
+    return graph.relations(entities, edges, "PART_OF").select("subject_id", "object")
 
 
 # ---- ops ----
@@ -447,7 +549,7 @@ def rel_by_predicate(spark, sf_dir):
 
 @query(f"WITH {DOCS} SELECT source, count(*) AS n FROM docs GROUP BY source")
 def status_by_source(spark, sf_dir):
-    return ops.by_source(docs(spark, sf_dir))
+    return ops.by_source(stored(spark, sf_dir))
 
 
 @query(f"WITH {DOCS} SELECT count(*) AS drawer_count, count(DISTINCT source) AS source_count, 2 AS schema_version, max(epoch(date_trunc('second', ts)))::BIGINT AS last_indexed, any_value(e.n) AS error_count FROM docs, (SELECT max(ts) AS ts FROM events), (SELECT count(*) AS n FROM events WHERE value < 0.5) e")
@@ -455,7 +557,7 @@ def status_summary(spark, sf_dir):
     from .schemas import seeds
 
     events = table(spark, sf_dir, "events")
-    return ops.summary(docs(spark, sf_dir), seeds(spark, 0)["schema_version"], events.select(F.unix_timestamp("ts").alias("last_indexed_mtime")), events.where("value < 0.5")).drop("applied_at")
+    return ops.summary(stored(spark, sf_dir), seeds(spark, 0)["schema_version"], events.select(F.unix_timestamp("ts").alias("last_indexed_mtime")), events.where("value < 0.5")).drop("applied_at")
 
 
 @query("SELECT event_id AS id, epoch(date_trunc('second', ts))::BIGINT AS occurred_at FROM events ORDER BY occurred_at DESC, id DESC LIMIT 50")
@@ -485,8 +587,8 @@ def verify_orphans(spark, sf_dir):
 
 @query(f"WITH {DOCS} SELECT 'empty_uid' AS \"check\", 0::BIGINT AS n UNION ALL SELECT 'bad_hash', 0 UNION ALL SELECT 'duplicate_uid', 0 UNION ALL SELECT 'index_without_drawer', count(*) FROM docs WHERE rowid % 11 = 0")
 def verify_hash_len(spark, sf_dir):
-    drawers = docs(spark, sf_dir)
-    return ops.verify(drawers.where("rowid % 11 <> 0"), index.lengths(drawers))
+    drawers, stored_index = archive(spark, sf_dir)
+    return ops.verify(drawers.where("rowid % 11 <> 0"), stored_index.lengths)
 
 
 @query(
@@ -495,7 +597,7 @@ def verify_hash_len(spark, sf_dir):
     FROM docs LEFT JOIN h USING (drawer_uid) WHERE rowid % 5 = 0 OR rowid % 3 = 0"""
 )
 def forget_upsert(spark, sf_dir):
-    d = docs(spark, sf_dir)
+    d = stored(spark, sf_dir)
     hidden = d.where("rowid % 3 = 0").select("drawer_uid", F.lit(100).cast("long").alias("hidden_at"), F.expr("CASE WHEN rowid % 2 = 0 THEN 150 END").cast("long").alias("unhidden_at"), F.lit("old").alias("reason"))
     return ops.hide(hidden, d.where("rowid % 5 = 0").select("drawer_uid", F.lit(200).cast("long").alias("hidden_at"), F.lit("new").alias("reason")))
 
@@ -581,14 +683,21 @@ def response_parse(spark, sf_dir):
     SELECT count(*) AS n_queries, round(count(rank) / count(*) / 10, 9) AS precision_at_k, round(count(rank) / count(*), 9) AS recall_at_k, round(sum(coalesce(1 / rank, 0)) / count(*), 9) AS mrr FROM f"""
 )
 def precision_recall_mrr(spark, sf_dir):
-    drawers = docs(spark, sf_dir)
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.slice(text.tokens(F.col("text")), 3, 3).alias("terms"))
-    scored_ = index.build(drawers).match_all(queries)
+    scored_ = batch_scores(spark, sf_dir)
     expected = scored_.groupBy("qid").agg(F.min("uid").alias("uid"))
     found = evaluate.quality(expected, top_per_query(scored_, 10))
     return found.select("n_queries", *[F.round(c, 9).alias(c) for c in ("precision_at_k", "recall_at_k", "mrr")])
 
 
+@query("SELECT 50::BIGINT AS n_queries, 0.1::DOUBLE AS precision_at_k, 1.0::DOUBLE AS recall_at_k, 1.0::DOUBLE AS mrr")
+def known_item_quality(spark, sf_dir):
+    """Known items among made-up threads: each query names the one drawer that it must find first. It reads no table."""
+    drawers, wanted = evaluate.known_item_corpus(spark)
+    wanted = wanted.select(F.xxhash64("query").alias("qid"), F.col("expected_drawer_uid").alias("uid"), text.tokens(F.col("query")).alias("terms"))
+    found = evaluate.quality(wanted.select("qid", "uid"), top_per_query(index.build(drawers).match_all(wanted.select("qid", "terms")), 10))
+    return found.select("n_queries", *[F.round(c, 9).alias(c) for c in ("precision_at_k", "recall_at_k", "mrr")])
+
+
 @query("SELECT round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99 FROM events")
 def latency_percentiles(spark, sf_dir):
     return evaluate.latency(table(spark, sf_dir, "events"), "value")

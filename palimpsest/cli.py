@@ -6,13 +6,15 @@ import argparse
 import datetime as dt
 import json
 import os
+import shlex
+import subprocess
 import sys
 from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from . import tools
+from . import __version__, tools
 from .operators import ops
 from .plans.match import MatchError
 from .sources import config
@@ -49,6 +51,7 @@ def human_bytes(n: float) -> str:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="palimpsest")
+    p.add_argument("--version", action="version", version=f"%(prog)s {__version__}")
     p.add_argument("--config")
     p.add_argument("--db", default=os.environ.get("PALIMPSEST_DB"))
     sub = p.add_subparsers(dest="command")
@@ -60,14 +63,14 @@ def parser() -> argparse.ArgumentParser:
 
     flag = {"action": "store_true"}
     command("init", ("--non-interactive", flag), ("--out", {}), ("--force", flag))
-    command("index", ("--quick", flag))
+    command("index", ("--quick", flag), ("--bg", flag))
     command(
-        "search", ("query", {"nargs": "+"}), ("--mode", {"choices": ["bm25"], "default": "bm25"}), ("--source", {"action": "append"}), ("--since", {}), ("--until", {}), ("--register", {}), ("--role", {}),
-        ("--limit", {"type": int, "default": 10}), ("--full", flag), ("--json", flag), ("--raw", flag),
+        "search", ("query", {"nargs": "*"}), ("--mode", {"choices": ["bm25"], "default": "bm25"}), ("--source", {"action": "append"}), ("--since", {}), ("--until", {}), ("--register", {}), ("--role", {}),
+        ("--limit", {"type": int, "default": 10}), ("--full", flag), ("--json", flag), ("--raw", flag), ("--open", {"metavar": "UID"}),
     )
     command("status", ("--json", flag))
     command("errors", ("--limit", {"type": int, "default": 50}), ("--json", flag))
-    command("migrate", ("--status", flag))
+    command("migrate", ("--status", flag), ("--baseline-from-existing", flag))
     command("verify", ("--deep", flag))
     command("types", ("action", {"choices": ["list"]}))
     command("graph", ("action", {"choices": ["entity"]}), ("name", {}), ("--limit", {"type": int, "default": 20}))
@@ -105,6 +108,11 @@ def run(args: argparse.Namespace, spark: SparkSession | None) -> int:
         out.write_text(config.render(args.db or DEFAULT_STORE, config.suggestions(Path.home(), Path.cwd())), "utf-8")
         print(out)
         return 0
+    if args.command == "index" and args.bg:
+        # the same run in a process of its own, which outlives this one
+        own = [a for a in sys.argv[1:] if a != "--bg"]
+        print(subprocess.Popen([sys.executable, "-m", __spec__.name, *own], stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, start_new_session=True).pid)
+        return 0
     sources = config.load(args.config) if args.command == "index" or args.config else {"database": None, "sources": []}
     spark = spark or SparkSession.builder.appName("palimpsest").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store = Store(spark, os.path.expanduser(args.db or sources["database"] or DEFAULT_STORE))
@@ -118,7 +126,26 @@ def run(args: argparse.Namespace, spark: SparkSession | None) -> int:
     return globals()[f"_{args.command}"](store, args)
 
 
+def _open(store: Store, uid: str) -> int:
+    """Show the file of a drawer in $EDITOR, or print its path where there is none."""
+    try:
+        found = store.searcher().fetch(ops.resolve(store.read("drawers"), uid)).first()
+    except (ops.NotFound, ops.Ambiguous) as e:
+        print(e, file=sys.stderr)
+        return 2
+    if not found["source_path"]:
+        print(f"{found['drawer_uid']} is of no file", file=sys.stderr)
+        return 1
+    editor = os.environ.get("EDITOR")
+    if editor and sys.stdout.isatty():
+        return subprocess.call([*shlex.split(editor), found["source_path"]])
+    print(found["source_path"])
+    return 0
+
+
 def _search(store: Store, args: argparse.Namespace) -> int:
+    if args.open:
+        return _open(store, args.open)
     query = " ".join(args.query)
     if not query.strip():
         return 2
@@ -151,7 +178,11 @@ def _errors(store: Store, args: argparse.Namespace) -> int:
 
 
 def _migrate(store: Store, args: argparse.Namespace) -> int:
-    store.create()
+    if args.baseline_from_existing:
+        store.baseline()
+    elif not args.status:
+        with store.writing():
+            store.create()
     print(store.read("schema_version").orderBy("version").toPandas().to_string(index=False))
     return 0
 

@@ -6,9 +6,15 @@ import re
 import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:  # an optional package
+    import chardet
+except ImportError:
+    chardet = None
+
 #: White space as Python's str sees it (fixed values); Java's own classes miss U+001C to U+001F.
 _WIDE = "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WS = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0" + _WIDE + "]"
@@ -131,9 +137,34 @@ def without_bom(c: Column) -> Column:
     return F.regexp_replace(c, "^\ufeff", "")
 
 
+def decode_bytes(data: bytes) -> str:
+    """Bytes that are no UTF-8: by their byte-order mark, by chardet where it is installed and sure, else as Windows-1252 or Latin-1."""
+    for mark, codec in ((b"\xff\xfe\0\0", "utf-32"), (b"\0\0\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+        if data.startswith(mark):
+            return data.decode(codec, "replace")
+    if chardet and (guess := chardet.detect(data))["encoding"] and guess["confidence"] >= 0.5:
+        try:
+            return data.decode(guess["encoding"])
+        except (LookupError, UnicodeDecodeError):
+            pass
+    # Latin-1 has control characters where Windows-1252 has punctuation
+    if any(0x80 <= b < 0xA0 for b in data):
+        try:
+            return data.decode("cp1252")
+        except UnicodeDecodeError:
+            pass
+    return data.decode("latin-1")
+
+
 def decoded(content: Column) -> Column:
-    """Bytes as UTF-8 where valid, else as Latin-1."""
-    return F.coalesce(F.try_validate_utf8(content.cast("string")), F.decode(content, "ISO-8859-1"))
+    """Bytes as UTF-8 where valid; only others go through Python."""
+
+    @F.pandas_udf("string")
+    def foreign(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda b: None if b is None else decode_bytes(bytes(b)))
+
+    plain = F.try_validate_utf8(content.cast("string"))
+    return F.coalesce(plain, foreign(F.when(plain.isNull(), content)))
 
 
 def epoch_of_date(c: Column, last_second: bool = False) -> Column:

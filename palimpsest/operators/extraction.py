@@ -10,10 +10,11 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import PENDING, RUNS, STATUSES
+from .ranges import running_sum
 
 #: USD a million tokens, input and output, by model; others; characters a token; output tokens expected (fixed values).
 PRICES = {
@@ -64,14 +65,9 @@ def status_or_failed(c: Column) -> Column:
 def within_budget(pending: DataFrame, budget: float, cost: str = "cost_usd") -> DataFrame:
     """The longest prefix of the queue, by enqueued_at and uid, whose expected costs fit the budget.
 
-    Running sums are built from sums of fixed time slices, so only one row a slice meets in a single task.
+    Running sums are built by ranges of the queue, so only one row a range meets in a single task.
     """
-    part = F.floor(F.col("enqueued_at") / 86_400).alias("__part")
-    sums = pending.groupBy(part).agg(F.sum(cost).alias("__sum"))
-    before = sums.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("__before"))
-    own = Window.partitionBy("__part").orderBy("enqueued_at", "drawer_uid").rowsBetween(Window.unboundedPreceding, 0)
-    df = pending.withColumn("__part", F.floor(F.col("enqueued_at") / 86_400)).join(before, "__part")
-    return df.withColumn("spent_usd", F.col("__before") + F.sum(cost).over(own)).where(F.col("spent_usd") <= budget).drop("__part", "__before")
+    return running_sum(pending, ["enqueued_at", "drawer_uid"], F.col(cost), "spent_usd").where(F.col("spent_usd") <= budget)
 
 
 def enqueue(pending: DataFrame, new: DataFrame) -> DataFrame:
@@ -183,6 +179,14 @@ class Runner:
         self.rows.append((len(self.rows) + 1, uid, started, int(self.clock()), status, self.model, version or self.prompt_version, *tokens, cost, json.dumps(entities), error))
         return {"drawer_uid": uid, "status": status, "cost_usd": cost, "entities": entities, "error_message": error}
 
+    def run_drawer(self, uid: str, drawers: DataFrame, pending: DataFrame, template: str = "{content}", version: str | None = None) -> dict:
+        """The result of one drawer, with the template and version it waits with, if it waits; LookupError for an unknown uid."""
+        work = drawers.where(F.col("drawer_uid") == uid).select("drawer_uid", "content").limit(1).join(pending, "drawer_uid", "left")
+        row = work.select(render(F.coalesce("prompt_template", F.lit(template)), F.col("content")).alias("prompt"), "prompt_version").first()
+        if row is None:
+            raise LookupError(f"no drawer {uid!r}")
+        return self.run_one(uid, row["prompt"], row["prompt_version"] or version)
+
     def run_pending(self, pending: DataFrame, drawers: DataFrame, template: str = "{content}", batch: int = 10) -> tuple[list[dict], DataFrame]:
         """Results of up to `batch` drawers, stopping where the budget ends, and the queue that is left."""
         work = next_pending(pending, batch).join(drawers.select("drawer_uid", "content"), "drawer_uid")
@@ -195,5 +199,6 @@ class Runner:
         done = [(r["drawer_uid"],) for r in out if r["status"] in ("success", "partial")]
         return out, pending.join(self.spark.createDataFrame(done, "drawer_uid string"), "drawer_uid", "left_anti").select(*PENDING.names)
 
-    def runs(self) -> DataFrame:
-        return self.spark.createDataFrame(self.rows, RUNS)
+    def runs(self, begin: int = 0) -> DataFrame:
+        """The runs so far, from the one with this place on, numbered from 1."""
+        return self.spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(self.rows[begin:], 1)], RUNS)

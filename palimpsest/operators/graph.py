@@ -6,10 +6,12 @@ import re
 import unicodedata
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .ranges import running_sum
 
 #: Names that would read as no value (fixed values).
 SENTINELS = ("null", "none", "undefined")
@@ -32,6 +34,21 @@ def predicate_name(name: str) -> str:
     return name
 
 
+def composed(c: Column) -> Column:
+    """Unicode's composed form; no built-in function has it, and names in ASCII don't need it."""
+
+    @F.pandas_udf("string")
+    def compose(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: n if n is None or n.isascii() else unicodedata.normalize("NFC", n))
+
+    return compose(c)
+
+
+def decoded_metadata(c: Column) -> Column:
+    """Metadata as a map; an empty one for null and for what is no JSON object."""
+    return F.coalesce(F.from_json(F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), c), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
 def valid_names(c: Column) -> Column:
     """Whether a name can be stored, for tables of names."""
     return (F.length(strip(c)) > 0) & ~F.lower(strip(c)).isin(*SENTINELS)
@@ -44,7 +61,7 @@ def upsert_entities(existing: DataFrame, observed: DataFrame) -> DataFrame:
     last one's last_seen. New ids follow the highest one in order of first appearance.
     """
     key = [_ascii_lower(F.col("name")).alias("__key"), F.col("type")]
-    seen = observed.where(valid_names(F.col("name"))).withColumn("name", strip(F.col("name")))
+    seen = observed.where(valid_names(F.col("name"))).withColumn("name", composed(strip(F.col("name"))))
     first = lambda c: F.min_by(c, F.struct("at", "name")).alias(c)
     new = seen.groupBy(*key).agg(first("name"), first("metadata"), first("source"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"))
     old = existing.withColumn("__key", _ascii_lower(F.col("name")))
@@ -55,8 +72,8 @@ def upsert_entities(existing: DataFrame, observed: DataFrame) -> DataFrame:
         F.coalesce("n.last_seen", "o.last_seen").alias("last_seen"),
     )
     highest = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__most"))
-    number = F.row_number().over(Window.orderBy("first_seen", "name", "type"))
-    fresh = both.where("id IS NULL").withColumn("__n", number).crossJoin(F.broadcast(highest)).withColumn("id", F.col("__most") + F.col("__n")).drop("__n", "__most")
+    fresh = running_sum(both.where("id IS NULL"), ["first_seen", "name", "type"], F.lit(1), "__n")
+    fresh = fresh.crossJoin(F.broadcast(highest)).withColumn("id", F.col("__most") + F.col("__n")).drop("__n", "__most")
     return both.where("id IS NOT NULL").unionByName(fresh)
 
 
@@ -71,6 +88,11 @@ def add_mentions(mentions: DataFrame, new: DataFrame) -> DataFrame:
     return mentions.unionByName(good.join(mentions, ["drawer_uid", "entity_id"], "left_anti").select(*mentions.columns))
 
 
+def link_entity_in_drawer(mentions: DataFrame, drawer_uid: str, entity_id: int, confidence: float = 1.0, detected_by: str = "manual", at: int = 0, **_ignored) -> DataFrame:
+    """Mentions with one more; other particulars of the link are ignored."""
+    return add_mentions(mentions, mentions.sparkSession.createDataFrame([(drawer_uid, entity_id, float(confidence), detected_by, at)], mentions.schema))
+
+
 def seed_pattern(name: str, aliases: Iterable[str] = ()) -> str:
     """A pattern for the name or an alias as a whole word in any case, longer ones first."""
     words = sorted({w for w in (name, *aliases) if w}, key=lambda w: (-len(w), w))
@@ -98,6 +120,15 @@ def drawers_of(entity_id: int, mentions: DataFrame, limit: int | None = None) ->
     return found if limit is None else found.limit(limit)
 
 
+def relations(entities: DataFrame, relationships: DataFrame, predicate: str | None = None, as_of: int | None = None) -> DataFrame:
+    """Edges with the name and type of what they lead to, as object and object_type: of one predicate, and valid at a time, if asked."""
+    edges = relationships if predicate is None else relationships.where(F.col("predicate") == predicate_name(predicate))
+    if as_of is not None:
+        edges = edges.where((F.coalesce("valid_from", F.lit(as_of)) <= as_of) & (F.coalesce("valid_to", F.lit(as_of)) >= as_of))
+    ends = entities.select(F.col("id").alias("object_id"), F.col("name").alias("object"), F.col("type").alias("object_type"))
+    return edges.join(ends, "object_id")
+
+
 def neighbourhood(name: str, entities: DataFrame, mentions: DataFrame, relationships: DataFrame, drawers: DataFrame, limit: int = 20, predicate: str | None = None, as_of: int | None = None) -> DataFrame:
     """Each entity of a name with its latest mentions, `limit` at most, and its outgoing edges, nested.
 
@@ -108,11 +139,7 @@ def neighbourhood(name: str, entities: DataFrame, mentions: DataFrame, relations
     seen = mentions.join(F.broadcast(own.select(F.col("id").alias("entity_id"))), "entity_id").join(drawers.select("drawer_uid", "source", "created_at"), "drawer_uid")
     seen = seen.withColumn("n", F.row_number().over(latest)).where(F.col("n") <= limit)
     seen = seen.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("n", "drawer_uid", "source", "created_at", "confidence", "detected_at"))).alias("mentions"))
-    edges = relationships if predicate is None else relationships.where(F.col("predicate") == predicate)
-    if as_of is not None:
-        edges = edges.where((F.coalesce("valid_from", F.lit(as_of)) <= as_of) & (F.coalesce("valid_to", F.lit(as_of)) >= as_of))
-    ends = entities.select(F.col("id").alias("object_id"), F.col("name").alias("object"), F.col("type").alias("object_type"))
-    edges = edges.join(F.broadcast(own.select(F.col("id").alias("subject_id"))), "subject_id").join(ends, "object_id")
+    edges = relations(entities, relationships.join(F.broadcast(own.select(F.col("id").alias("subject_id"))), "subject_id", "left_semi"), predicate, as_of)
     edges = edges.groupBy(F.col("subject_id").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct("predicate", "object", "object_type", "valid_from", "valid_to", "drawer_uid"))).alias("relationships"))
     out = own.withColumn("entity_id", F.col("id")).join(seen, "entity_id", "left").join(edges, "entity_id", "left")
     return out.select("id", "name", "type", "mentions", "relationships")

@@ -77,16 +77,22 @@ def build(drawers: DataFrame) -> Index:
     return Index(postings(drawers), n, statistics(n))
 
 
-def write_index(drawers: DataFrame, path: str, parts: int = 64) -> None:
-    """Store postings in ranges of terms, so that a lookup of a term prunes row groups, and lengths and statistics."""
-    postings(drawers).repartitionByRange(parts, "term", "uid").sortWithinPartitions("term", "uid", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+def write_index(drawers: DataFrame, path: str, parts: int | None = None) -> None:
+    """Store postings in ranges of terms, so that a lookup of a term prunes row groups, with lengths and their sums."""
+    ranges = (parts, "term", "uid") if parts else ("term", "uid")
+    postings(drawers).repartitionByRange(*ranges).sortWithinPartitions("term", "uid", "pos").write.mode("overwrite").parquet(f"{path}/postings")
     lengths(drawers).write.mode("overwrite").parquet(f"{path}/lengths")
-    spark = drawers.sparkSession
-    statistics(spark.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/statistics")
+    sums = drawers.sparkSession.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
+    sums.write.mode("overwrite").parquet(f"{path}/sums")
 
 
-def read_index(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "statistics")))
+def read_index(spark, *paths: str, missing: DataFrame | None = None) -> Index:
+    """The index whose parts lie at some paths; drawers that are missing there are indexed as they are used."""
+    posts, n, sums = (spark.read.parquet(*[f"{p}/{t}" for p in paths]) for t in ("postings", "lengths", "sums"))
+    if missing is not None:
+        more = lengths(missing)
+        posts, n, sums = posts.union(postings(missing)), n.union(more), sums.union(more.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))))
+    return Index(posts, n, sums.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("average")))
 
 
 def needs_index(files: DataFrame, state: DataFrame) -> DataFrame:

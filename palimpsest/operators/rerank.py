@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,21 @@ def model_name(explicit: str | None = None) -> str:
     return explicit or os.environ.get("PALIMPSEST_RERANK_MODEL") or DEFAULT_MODEL
 
 
+def default_scorer(explicit: str | None = None) -> Callable[[], Callable[[list[tuple[str, str]]], list[float]]] | None:
+    """What makes the scorer of the named model, or None where the package that runs such models is not installed."""
+    if importlib.util.find_spec("sentence_transformers") is None:
+        return None
+    name = model_name(explicit)
+
+    def make() -> Callable[[list[tuple[str, str]]], list[float]]:
+        from sentence_transformers import CrossEncoder
+
+        model = CrossEncoder(name)
+        return lambda pairs: [float(x) for x in model.predict(pairs)]
+
+    return make
+
+
 def rerank(candidates: DataFrame, query: str, make_scorer: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], top_k: int) -> DataFrame:
     """The top_k of at most CAP candidates by the scorer's (query, content) scores; equal ones keep their order.
 

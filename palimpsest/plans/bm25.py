@@ -48,9 +48,13 @@ class Index:
             rows = rows.select("uid", F.col("pos").alias("start"))
         return rows.where("start = 0") if p.initial else rows
 
+    def _counts(self, p: Phrase) -> DataFrame:
+        """(uid, tf) of a phrase."""
+        return self.occurrences(p).groupBy("uid").agg(F.count("*").alias("tf"))
+
     def _scored(self, counts: DataFrame, every: DataFrame) -> DataFrame:
-        """(uid, tf) -> (uid, score), with the document frequency among all occurrences of the phrase."""
-        df = every.agg(F.countDistinct("uid").alias("df"))
+        """(uid, tf) -> (uid, score), with the document frequency that `every`, the phrase's own (uid, tf), has; one exchange serves both if they are the same."""
+        df = every.agg(F.count("*").alias("df"))
         return counts.join(self.lengths, "uid").crossJoin(F.broadcast(df)).crossJoin(F.broadcast(self.stats)).select(
             "uid", (idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("length"), F.col("average"))).alias("score")
         )
@@ -71,7 +75,7 @@ class Index:
         full = lambda s: F.size(F.array_distinct(F.transform(s, lambda x: x["i"]))) == len(near.phrases)
         hits = lists.select("uid", F.explode(F.array_distinct(F.flatten(F.filter(F.transform("all", span), full)))).alias("x"))
         hits = hits.groupBy("uid", F.col("x.i").alias("i")).agg(F.count("*").alias("tf"))
-        parts = [self._scored(hits.where(F.col("i") == i).select("uid", "tf"), self.occurrences(p)) for i, p in enumerate(near.phrases)]
+        parts = [self._scored(hits.where(F.col("i") == i).select("uid", "tf"), self._counts(p)) for i, p in enumerate(near.phrases)]
         return self._sum(parts)
 
     @staticmethod
@@ -81,8 +85,7 @@ class Index:
     def match(self, tree) -> DataFrame:
         """(uid, score) of the documents that a tree matches."""
         if isinstance(tree, Phrase):
-            found = self.occurrences(tree)
-            return self._scored(found.groupBy("uid").agg(F.count("*").alias("tf")), found)
+            return self._scored(*[self._counts(tree)] * 2)
         if isinstance(tree, Near):
             return self._near(tree)
         if isinstance(tree, Without):
@@ -96,10 +99,20 @@ class Index:
         return both.where(F.col("k") == len(found)).select("uid", "score")
 
     def match_all(self, queries: DataFrame) -> DataFrame:
-        """(qid, terms) -> (qid, uid, score): every literal phrase query in one pass over the postings."""
-        wanted = queries.where(F.size("terms") > 0).select("qid", F.size("terms").alias("k"), F.posexplode("terms").alias("i", "term"))
-        hits = self.postings.join(wanted, "term").groupBy("qid", "k", "uid", (F.col("pos") - F.col("i")).alias("start")).count().where("count = k")
-        hits = hits.groupBy("qid", "uid").agg(F.count("*").alias("tf"))
+        """(qid, terms) -> (qid, uid, score): every literal phrase query at once.
+
+        A phrase can only start where its rarest term says; its other terms are looked up at those places alone, so that
+        common terms meet no query by themselves.
+        """
+        wanted = queries.where(F.size("terms") > 0).select("qid", "terms", F.posexplode("terms").alias("i", "term"))
+        often = self.postings.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+        rarest = wanted.join(often, "term", "left").groupBy("qid").agg(F.min_by(F.struct("term", "i", "terms"), F.struct(F.coalesce("n", F.lit(0)), "i")).alias("r")).select("qid", "r.*")
+        starts = self.postings.join(rarest, "term").select("qid", "uid", (F.col("pos") - F.col("i")).alias("start"), F.col("i").alias("known"), "terms").where("start >= 0")
+        rest = starts.select("qid", "uid", "start", F.size("terms").alias("k"), "known", F.posexplode("terms").alias("i", "term"))
+        alone = rest.where("i = known").select("qid", "uid", "start", "k")
+        others = rest.where("i <> known").select("qid", "uid", "start", "k", "term", (F.col("start") + F.col("i")).alias("pos"))
+        found = alone.union(others.join(self.postings, ["uid", "pos", "term"]).select("qid", "uid", "start", "k"))
+        hits = found.groupBy("qid", "uid", "start", "k").count().where("count = k").groupBy("qid", "uid").agg(F.count("*").alias("tf"))
         frequency = hits.groupBy("qid").agg(F.count("*").alias("df"))
         df = hits.join(frequency, "qid").join(self.lengths, "uid").crossJoin(F.broadcast(self.stats))
         return df.select("qid", "uid", (idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("length"), F.col("average"))).alias("score"))

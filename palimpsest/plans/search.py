@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,12 @@ def visible(drawers: DataFrame, hidden: DataFrame | None) -> DataFrame:
     return drawers if hidden is None else drawers.join(hidden.where("unhidden_at IS NULL").select("drawer_uid"), "drawer_uid", "left_anti")
 
 
+class Retriever(Protocol):
+    """Whatever finds drawers for a query: the best first, with drawer_uid, score and rank."""
+
+    def search(self, query: str, *, limit: object = DEFAULT_LIMIT, **filters) -> DataFrame: ...
+
+
 class Searcher:
     """drawers, their index, and what is hidden. Scores are of the whole corpus, filtered and hidden rows included."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -61,6 +63,10 @@ FOREIGN_KEYS = (
 )
 
 
+#: By version: what a migration to it is, and the function of a store that does it. Version 2 has the tables of version 1.
+STEPS: dict[int, tuple[str, Callable | None]] = {2: ("records carry their hash input's version", None)}
+
+
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from . import schemas
 from .operators import index, ops
+from .operators.extraction import Runner
 from .plans.bm25 import Index
 from .plans.search import Searcher
+from .scratch import shared
 from .sources import HANDLES, reader
 from .sources.common import Extracted
 from .sources.files import glob_condition, relative
@@ -23,10 +26,14 @@ class Locked(RuntimeError):
 
 
 class Store:
-    """Tables live in `<path>/<table>/v<n>`; the highest finished version counts, so a reader never sees half a write."""
+    """Tables live in `<path>/<table>/v<n>`; the highest finished version counts, so a reader never sees half a write.
 
-    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time):
-        self.spark, self.path, self.clock = spark, path.rstrip("/"), clock
+    The index lies in `index/v<n>` in parts, one for each run that added drawers until `reindex` makes one of all; a part
+    counts when its drawers are stored. A lock that is older than `stale` seconds is taken to be left by a driver that died.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time, stale: float = 86_400):
+        self.spark, self.path, self.clock, self.stale = spark, path.rstrip("/"), clock, stale
 
     # ---- files, through Hadoop, so that any store of files will do ----
 
@@ -45,11 +52,16 @@ class Store:
         return max([int(n[1:]) for n in names if n[1:].isdigit() and self._fs.exists(self._file(f"{self.path}/{name}/{n}/_SUCCESS"))], default=0)
 
     @contextmanager
-    def writing(self) -> Iterator[None]:
-        """Hold the store's lock; Locked if another writer does."""
-        lock = self._file(f"{self.path}/_lock")
-        if not self._fs.createNewFile(lock):
-            raise Locked(self.path)
+    def writing(self, wait: float = 0) -> Iterator[None]:
+        """Hold the store's lock; Locked if another writer does for all of `wait` seconds."""
+        lock, until = self._file(f"{self.path}/_lock"), time.monotonic() + wait
+        while not self._fs.createNewFile(lock):
+            if self._fs.exists(lock) and time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000 >= self.stale:
+                self._fs.delete(lock, False)
+            elif time.monotonic() >= until:
+                raise Locked(self.path)
+            else:
+                time.sleep(min(1, max(0, until - time.monotonic())))
         try:
             yield
         finally:
@@ -61,15 +73,32 @@ class Store:
         return self._version("schema_version") > 0
 
     def create(self) -> None:
-        """Write the seeds; a store that is there stays. A newer schema is refused."""
+        """Write the seeds; a store that is there is brought to this schema. A newer one is refused, and one that a step left half done."""
         if not self.exists():
             for name, rows in schemas.seeds(self.spark, int(self.clock())).items():
                 self.replace(name, rows)
-        version = self.read("schema_version").where("status = 'applied'").agg(F.max("version")).first()[0]
+        version = self.read("schema_version").where("status = 'applied'").agg(F.max("version")).first()[0] or 0
         if self.read("schema_version").where("status = 'in_progress'").limit(1).count():
             raise RuntimeError("a migration of this store did not finish")
         if version > schemas.VERSION:
             raise RuntimeError(f"the store has schema {version}, newer than {schemas.VERSION}")
+        for n in range(version + 1, schemas.VERSION + 1):
+            self._step(n)
+
+    def _step(self, n: int) -> None:
+        """One migration: noted before it begins, and again when it has ended."""
+        text, run = schemas.STEPS.get(n, ("no change of tables", None))
+        versions = self.read("schema_version")
+        noted = lambda status: versions.unionByName(self.spark.createDataFrame([(n, int(self.clock()), text, status)], schemas.SCHEMA_VERSION))
+        self.replace("schema_version", shared(noted("in_progress")))
+        if run:
+            run(self)
+        self.replace("schema_version", shared(noted("applied")))
+
+    def baseline(self) -> None:
+        """Note the present schema for a store whose tables were brought here otherwise, in place of what was noted."""
+        with self.writing():
+            self.replace("schema_version", self.spark.createDataFrame([(schemas.VERSION, int(self.clock()), "baseline", "applied")], schemas.SCHEMA_VERSION))
 
     def read(self, name: str) -> DataFrame:
         n = self._version(name)
@@ -90,28 +119,40 @@ class Store:
 
     # ---- ingest ----
 
-    def add(self, found: Extracted, source: str, enqueue: bool = False, scan_risk: bool = False) -> int:
-        """Store records that are new, with what could not be read; how many came in.
+    def add(self, found: Extracted, source: str, enqueue: bool = False, scan_risk: bool = False, once: str | None = None) -> int:
+        """Store and index records that are new, with what could not be read; how many came in.
 
-        With enqueue, new records also wait for extraction.
+        With enqueue, new records also wait for extraction. What could not be read is noted once for each value of `once`.
         """
+        return self._add(found, source, enqueue, scan_risk, once)[0]
+
+    def _add(self, found: Extracted, source: str, enqueue: bool = False, scan_risk: bool = False, once: str | None = None) -> tuple[int, DataFrame]:
+        """As `add`; also (source_path, n) of the new records."""
         order = [F.col(c) for c in ("source_path", "thread_id", "position_in_thread", "source_id")]
         new = index.new_records(index.first_of_each(found.drawers, order), self.read("drawers"))
         if scan_risk:
             new = index.completed(new, True)
-        new = new.persist()
-        try:
-            count = new.count()
-            if count:
-                if enqueue:
-                    waiting = new.select("drawer_uid", F.lit(int(self.clock())).cast("long").alias("enqueued_at"), F.lit(None).cast("string").alias("prompt_template"), F.lit(None).cast("string").alias("prompt_version"))
-                    self.append("extract_pending", waiting.join(self.read("extract_pending"), "drawer_uid", "left_anti"))
-                # last: after it, what is new is stored, and nothing would be new any more
-                self.append("drawers", new)
-        finally:
-            new.unpersist()
-        self.append("ingest_errors", index.error_rows(found.errors.select(F.lit(source).alias("source"), "source_path", "reason"), int(self.clock())))
-        return count
+        new = shared(new)
+        count = new.count()
+        if count:
+            if enqueue:
+                waiting = new.select("drawer_uid", F.lit(int(self.clock())).cast("long").alias("enqueued_at"), F.lit(None).cast("string").alias("prompt_template"), F.lit(None).cast("string").alias("prompt_version"))
+                self.append("extract_pending", waiting.join(self.read("extract_pending"), "drawer_uid", "left_anti"))
+            part = f"{self.path}/index/v{max(1, self._version('index'))}/{uuid.uuid4().hex}"
+            index.write_index(new, part)
+            # after it, what is new is stored, and nothing would be new any more
+            self.append("drawers", new)
+            self._mark(f"{part}/_DONE")
+            self._mark(f"{part.rpartition('/')[0]}/_SUCCESS")
+        noted = f"{self.path}/_noted/{uuid.uuid5(uuid.NAMESPACE_URL, once or '').hex}"
+        if not once or not self._fs.exists(self._file(noted)):
+            self.append("ingest_errors", index.error_rows(found.errors.select(F.lit(source).alias("source"), "source_path", "reason"), int(self.clock())))
+            if once:
+                self._mark(noted)
+        return count, shared(new.groupBy("source_path").agg(F.count("*").alias("n")), new)
+
+    def _mark(self, path: str) -> None:
+        self._fs.create(self._file(path), True).close()
 
     def index_source(self, source: dict, quick: bool = False, **options) -> int:
         """Read one configured source. With quick, only files that are new or changed since the last run."""
@@ -127,12 +168,9 @@ class Store:
         if quick:
             stale = files.select("source_path")
             found = Extracted(found.drawers.join(stale, "source_path", "left_semi"), found.errors.join(stale, "source_path", "left_semi"))
-        count = self.add(found, source["name"], **options)
-        seen = files.select("source", "source_path", F.col("mtime").alias("last_indexed_mtime"), F.col("size").alias("last_indexed_size"))
-        own = self.read("drawers").groupBy("source_path").agg(F.count("*").alias("drawer_count"))
-        fresh = seen.join(own, "source_path", "left").withColumn("drawer_count", F.coalesce("drawer_count", F.lit(0)))
-        kept = state.join(fresh.select("source", "source_path"), ["source", "source_path"], "left_anti")
-        self.replace("index_state", kept.unionByName(fresh.select(*schemas.INDEX_STATE.names)))
+        count, own = self._add(found, source["name"], **options)
+        seen = files.join(own, "source_path", "left").select("source", "source_path", F.col("mtime").alias("last_indexed_mtime"), F.col("size").alias("last_indexed_size"), F.coalesce("n", F.lit(0)).alias("drawer_count"))
+        self.replace("index_state", index.updated_state(state, seen))
         return count
 
     def index_all(self, sources: list[dict], quick: bool = False, **options) -> dict[str, int | str]:
@@ -151,12 +189,28 @@ class Store:
     # ---- reading ----
 
     def index(self) -> Index:
-        """The index that `reindex` wrote, or one that is computed as it is used."""
-        path = f"{self.path}/index"
-        return index.read_index(self.spark, path) if self._fs.exists(self._file(f"{path}/statistics/_SUCCESS")) else index.build(self.read("drawers"))
-
-    def reindex(self, parts: int = 64) -> None:
-        index.write_index(self.read("drawers"), f"{self.path}/index", parts)
+        """The stored index; drawers that it doesn't hold yet are indexed as they are used."""
+        drawers, folder = self.read("drawers"), self._file(f"{self.path}/index/v{self._version('index')}")
+        parts = [s.getPath().toString() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        parts = [p for p in parts if self._fs.exists(self._file(f"{p}/_DONE"))]
+        if not parts:
+            return index.build(drawers)
+        stored = index.read_index(self.spark, *parts)
+        if stored.lengths.count() == drawers.count():
+            return stored
+        missing = drawers.join(stored.lengths.select(F.col("uid").alias("drawer_uid")), "drawer_uid", "left_anti")
+        return index.read_index(self.spark, *parts, missing=missing)
+
+    def reindex(self, parts: int | None = None) -> None:
+        """Make one part of the whole index; the version before stays until the next, for readers that still have it."""
+        with self.writing():
+            n = self._version("index")
+            part = f"{self.path}/index/v{n + 1}/all"
+            index.write_index(self.read("drawers"), part, parts)
+            self._mark(f"{part}/_DONE")
+            self._mark(f"{self.path}/index/v{n + 1}/_SUCCESS")
+            if n > 1:
+                self._fs.delete(self._file(f"{self.path}/index/v{n - 1}"), True)
 
     def searcher(self, **options) -> Searcher:
         return Searcher(self.read("drawers"), self.index(), self.read("hidden_drawers"), **options)
@@ -180,6 +234,41 @@ class Store:
                 bad[name] = str(e).partition("\n")[0]
         return bad
 
+    def rebuild(self, path: str | None = None) -> dict[str, str]:
+        """What `check` finds broken, after it was brought back from a snapshot, where there is one, or emptied; then the index is made again.
+
+        An emptied table of drawers fills up at the next index run, as no file's state is kept with it.
+        """
+        bad = self.check()
+        other = Store(self.spark, path) if path else None
+        with self.writing():
+            for name in bad:
+                self.replace(name, other.read(name) if other and other._version(name) else schemas.empty(self.spark, name))
+            if "drawers" in bad:
+                self.replace("index_state", schemas.empty(self.spark, "index_state"))
+        if "drawers" in bad:
+            self.reindex()
+        return bad
+
+    def record_runs(self, runs: DataFrame) -> None:
+        """Append extraction runs; their ids follow the highest one."""
+        with self.writing():
+            most = self.read("extraction_runs").agg(F.coalesce(F.max("id"), F.lit(0)).alias("most"))
+            rows = runs.crossJoin(F.broadcast(most)).withColumn("id", F.col("id") + F.col("most"))
+            self.append("extraction_runs", shared(rows.select(*schemas.RUNS.names)))
+
+    def extract(self, runner: Runner, uid: str | None = None, batch: int = 10, template: str = "{content}") -> list[dict]:
+        """Run what waits, or one drawer whether it waits or not, and keep the runs; what succeeded waits no more."""
+        pending, drawers = self.read("extract_pending"), self.read("drawers")
+        begun = len(runner.rows)
+        out = [runner.run_drawer(uid, drawers, pending, template)] if uid else runner.run_pending(pending, drawers, template, batch)[0]
+        if out:
+            self.record_runs(runner.runs(begun))
+            done = self.spark.createDataFrame([(r["drawer_uid"],) for r in out if r["status"] in ("success", "partial")], "drawer_uid string")
+            with self.writing():
+                self.replace("extract_pending", shared(self.read("extract_pending").join(F.broadcast(done), "drawer_uid", "left_anti")))
+        return out
+
     def snapshot(self, path: str) -> None:
         """Copy every table's current rows to another path."""
         other = Store(self.spark, path)

@@ -22,13 +22,14 @@ def file_stream(spark: SparkSession, path: str, type_name: str, files_per_batch:
 
 
 def ingest(store, type_name: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Feed new files into a store, a batch at a time; a batch that is repeated after a failure adds nothing twice.
+    """Feed new files into a store, a batch at a time; a batch that is repeated after a failure adds nothing twice. Other writers are waited for.
 
     The file source sees new files, not changed ones; for those the store's own index run compares times.
     """
 
-    def take(files: DataFrame, _batch: int) -> None:
-        store.add(PARSERS[type_name](files), type_name)
+    def take(files: DataFrame, batch: int) -> None:
+        with store.writing(wait=600):
+            store.add(PARSERS[type_name](files), type_name, once=f"{checkpoint}#{batch}")
 
     return file_stream(store.spark, path, type_name).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
