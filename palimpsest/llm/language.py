@@ -13,6 +13,8 @@ from .common import pieces
 
 ORDERS, BITS, TABLE_BYTES = (1, 2, 3), 16, 64 << 20
 UNKNOWN = "und"
+#: Tasks that add up the others' counts; n-grams that are scored at once.
+SUMS, GRAMS = 16, 1 << 18
 
 
 def held_out(doc_id):
@@ -20,24 +22,39 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of all texts, each text after a zero, and where each begins."""
-    lower = ["\0" + (t or "").lower() for t in texts]
-    codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return codes, np.concatenate([[0], np.cumsum([len(t) for t in lower])]).astype(np.int64)
+def _grams(texts: list[str | None], orders: tuple[int, ...], bits: int) -> tuple[Iterator[np.ndarray], np.ndarray]:
+    """For each n the bucket of the n-gram that ends at each lower-case code point of all texts, and where each text begins.
 
-
-def _grams(codes: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
-    """The bucket of the n-gram that ends at each code point, for each n; n-grams across two texts hold the zero between them."""
-    x = codes.astype(np.uint32)
-    with np.errstate(over="ignore"):
-        h = np.zeros_like(x)
-        for n in range(1, max(orders) + 1):
-            back = np.zeros_like(x)
-            back[n - 1 :] = x[: len(x) - n + 1]
-            h = h * np.uint32(0x01000193) + (back + np.uint32(n)) * np.uint32(0x9E3779B1)
-            if n in orders:
-                yield ((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
+    Zeros stand before a text, so that an n-gram holds nothing of the text before it.
+    """
+    pad = max(orders) - 1
+    lower = [(t or "").lower() for t in texts]
+    size = np.array([len(t) for t in lower], np.int64)
+    x = np.frombuffer("".join("\0" * pad + t for t in lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.ones(len(x), bool)
+    own[(np.cumsum(size + pad) - size - pad)[:, None] + np.arange(pad)] = False
+
+    def each() -> Iterator[np.ndarray]:
+        with np.errstate(over="ignore"):
+            h = np.zeros_like(x)
+            for n in range(1, max(orders) + 1):
+                back = np.zeros_like(x)
+                back[n - 1 :] = x[: len(x) - n + 1]
+                h = h * np.uint32(0x01000193) + (back + np.uint32(n)) * np.uint32(0x9E3779B1)
+                if n in orders:
+                    yield (((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits))[own]
+
+    return each(), np.concatenate([[0], np.cumsum(size)])
+
+
+def _text_sums(table: np.ndarray, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows of each text's n-grams, GRAMS at a time however long a text is; at has one more entry than texts."""
+    out = np.zeros((len(at) - 1, table.shape[1]))
+    for a in range(0, len(grams), GRAMS):
+        b = min(a + GRAMS, len(grams))
+        first, last = np.searchsorted(at, a, "right") - 1, np.searchsorted(at, b)
+        out[first:last] += np.add.reduceat(table[grams[a:b]], np.maximum(at[first:last] - a, 0), axis=0, dtype=np.float64)
+    return out
 
 
 def _has_letter(text: str | None) -> bool:
@@ -62,8 +79,8 @@ def _tables(sums: dict[int, list]) -> pa.RecordBatch:
 def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[list[str], np.ndarray]:
     """Learn from all rows of docs with a lang: the languages, and log-probabilities by bucket and language, the log-priors last.
 
-    Each task sums the n-gram counts of its own texts; sixteen tasks' tables at a time are added until the driver gets
-    sixteen at most. A table is held to TABLE_BYTES: with many languages there are fewer buckets.
+    Each task sums the n-gram counts of its own texts; SUMS tasks add those up, a table at a time, and the driver gets
+    theirs. A table is held to TABLE_BYTES: above 128 languages there are fewer buckets, and above 8,192 it raises.
     """
     docs = docs.where("lang is not null").select("text", "lang")
     langs = sorted(r[0] for r in docs.select("lang").distinct().limit(8193).collect())
@@ -78,19 +95,16 @@ def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -
         for batch in batches:
             texts, own = batch.column(0).to_pylist(), [index[x] for x in batch.column(1).to_pylist()]
             for part in pieces(list(zip(texts, own, strict=True)), [len(t or "") for t in texts]):
-                codes, at = _codes([t for t, _ in part])
+                grams, at = _grams([t for t, _ in part], orders, bits)
                 used, lang = np.unique([i for _, i in part], return_inverse=True)
                 cell = np.repeat(lang * size, np.diff(at))
-                found = sum(np.bincount(cell + g, minlength=len(used) * size) for g in _grams(codes, orders, bits))
+                found = sum(np.bincount(cell + g, minlength=len(used) * size) for g in grams)
                 for k, i in enumerate(used.tolist()):
                     sums[i] = [sums[i][0] + int((lang == k).sum()), sums[i][1] + found[k * size : (k + 1) * size]]
         yield _tables(sums)
 
     schema = "i int, n long, counts binary"
-    parts, tables = docs.rdd.getNumPartitions(), docs.mapInArrow(count, schema)
-    while parts > 16:
-        parts = -(-parts // 16)
-        tables = tables.repartition(parts).mapInArrow(_add_up, schema)
+    tables = docs.mapInArrow(count, schema).repartition(SUMS).mapInArrow(_add_up, schema)
     counts, priors = np.zeros((len(langs), size)), np.zeros(len(langs))
     for row in tables.toLocalIterator():
         counts[row["i"]] += np.frombuffer(row["counts"], np.int64)
@@ -99,10 +113,11 @@ def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -
     return langs, np.vstack([log.T, np.log(priors / max(priors.sum(), 1))[None]]).astype(np.float32)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...], orders: tuple[int, ...] = ORDERS, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[str, ...], orders: tuple[int, ...] = ORDERS, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """The columns named in keep, then the language and its posterior, under the names, for each row, from its whole text.
 
-    A null text, or one without a letter, gets `und` and score 0; so does every text if no language was learned.
+    A third name gets the mean log-probability of the text's n-grams in that language, which a text's length doesn't change.
+    A null text, or one without a letter, gets `und`, score 0 and no mean; so does every text if no language was learned.
     """
     langs, log = model
     bits = (len(log) - 1).bit_length() - 1
@@ -113,22 +128,23 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
         table = shared_log.value
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            pred, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            pred, best, mean = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
             known = [i for i, t in enumerate(texts) if langs and _has_letter(t)]
             for part in pieces(known, [len(texts[i]) for i in known]):
-                codes, at = _codes([texts[i] for i in part])
+                grams, at = _grams([texts[i] for i in part], orders, bits)
                 total = np.tile(table[-1].astype(float), (len(part), 1))
-                for g in _grams(codes, orders, bits):
-                    total += np.add.reduceat(table[g], at[:-1], axis=0, dtype=np.float64)
+                for g in grams:
+                    total += _text_sums(table, g, at)
                 top = total.argmax(1)
                 share = np.exp(total - total.max(1, keepdims=True))
                 best[part] = 1 / share.sum(1)
+                mean[part] = (total.max(1) - table[-1][top]) / (len(orders) * np.diff(at))
                 for i, k in zip(part, top.tolist(), strict=True):
                     pred[i] = langs[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred, pa.string()), pa.array(best)], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(pred, pa.string()), pa.array(best), pa.array(mean)][: len(names)]], [*keep, *names])
 
     kinds = [f"`{c}` {columns.schema[c].dataType.simpleString()}" for c in keep]
-    return columns.mapInArrow(score, ", ".join([*kinds, f"{names[0]} string", f"{names[1]} double"]))
+    return columns.mapInArrow(score, ", ".join([*kinds, *[f"{n} {k}" for n, k in zip(names, ("string", "double", "double"), strict=False)]]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -141,7 +157,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def accept(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, unchanged, whose language is recognised with a posterior of `least` or more."""
+    """The rows of docs, unchanged, whose language is recognised with a posterior of `least` or more.
+
+    Their n-grams must also be likelier in that language than by chance, one bucket in all: what is written in another
+    script than any learned language, or is no writing, is not, however sure the posterior is.
+    """
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    found = predict(docs, model, tuple(docs.columns), names=("__accept_lang", "__accept_score"))
-    return found.where((F.col("__accept_lang") != UNKNOWN) & (F.col("__accept_score") >= least)).drop("__accept_lang", "__accept_score")
+    names = ("__accept_lang", "__accept_score", "__accept_mean")
+    found = predict(docs, model, tuple(docs.columns), names=names)
+    chance = -float(np.log(max(1, len(model[1]) - 1)))
+    return found.where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least) & (F.col(names[2]) >= chance)).drop(*names)
