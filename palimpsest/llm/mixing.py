@@ -45,27 +45,32 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def copies(rate: Column, key: Column, seed: str = SEED) -> Column:
+def draw_key(doc_id: Column, text: Column) -> Column:
+    """What a row's draw depends on: its id or, where that is null, a digest of its text."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def copies(rate: Column, draw: Column) -> Column:
     """floor(rate), and one more with the fraction's probability."""
-    return F.floor(rate) + F.when(uniform(key, seed) < rate - F.floor(rate), 1).otherwise(0)
+    return F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)
 
 
 def _rates(narrow: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     rates = shared(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    # about 16 MB at most: rows, and names that are longer than 16 bytes by how much they are
-    n = rates.agg(F.count("*") + F.coalesce(F.sum(F.octet_length("source")), F.lit(0)) / 16).first()[0]
-    return small(rates, int(n), 200_000)
+    # names count as more rows by how long they are
+    n = rates.agg(F.count("*") + F.coalesce(F.sum(F.octet_length("source")), F.lit(0)) / 64).first()[0]
+    return small(rates, int(n))
 
 
 def mix_report(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes of the document) for each row of docs.
 
-    Rows with one doc_id share their draw; null texts have size 0; null sources form one source; an empty table gives
-    none. Columns other than doc_id, source and text are not read.
+    Rows with one doc_id share their draw, and rows of a null doc_id do if their texts are equal; null texts have size 0;
+    null sources form one source; an empty table gives none. Columns other than doc_id, source and text are not read.
     """
-    narrow = shared(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    narrow = shared(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), uniform(draw_key(F.col("doc_id"), F.col("text")), seed).alias("draw")))
     df = narrow.alias("d").join(_rates(narrow, weights, most).alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-    taken = (F.col("size") * copies(F.col("rate"), F.col("doc_id"), seed)).cast("long")
+    taken = (F.col("size") * copies(F.col("rate"), F.col("draw"))).cast("long")
     return df.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "rate")
 
 
@@ -74,6 +79,6 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, see
     rates = _rates(docs.select("source", n_words(F.col("text")).alias("size")), weights, most)
     rates = rates.select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
     df = docs.join(rates, docs["source"].eqNullSafe(F.col("__mix_source")))
-    times = F.sequence(F.lit(1), copies(F.col("__mix_rate"), docs["doc_id"], seed).cast("int"))
-    times = F.when(copies(F.col("__mix_rate"), docs["doc_id"], seed) >= 1, times).otherwise(F.array().cast("array<int>"))
+    n = copies(F.col("__mix_rate"), uniform(draw_key(docs["doc_id"], docs["text"]), seed)).cast("int")
+    times = F.transform(F.array(n), lambda n: F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))[0]
     return df.withColumn("__mix_copy", F.explode(times)).select(*[docs[f"`{c}`"] for c in docs.columns])

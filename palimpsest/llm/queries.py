@@ -41,11 +41,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_array.strip_repeats(documents(spark, sf_dir)).drop("kept")
+    return suffix_array.strip_repeats(documents(spark, sf_dir), kept=False)
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.strip_passages(documents(spark, sf_dir)).drop("kept")
+    return passages.strip_passages(documents(spark, sf_dir), kept=False)
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,8 @@ def queries() -> dict[str, Query]:
 
 OP1_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    COALESCE(doc_id::VARCHAR, '#' || md5(COALESCE(text, ''))) AS key FROM documents
 ), s AS (
   SELECT source, SUM(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS n FROM d GROUP BY source
 ), w AS (
@@ -72,7 +73,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t
 )
 SELECT doc_id, size, source_size, target,
-  (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix|' || COALESCE(doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE / 281474976710656.0
+  (size * (floor(rate) + CASE WHEN ('0x' || substr(md5('mix|' || key), 1, 12))::BIGINT::DOUBLE / 281474976710656.0
     < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
