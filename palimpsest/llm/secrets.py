@@ -31,6 +31,8 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 #: Labelled values that the automata are fitted on, at most; the test of two states' futures; the least mean gain per
 #: character, in nats, of a candidate over ordinary words, the least length; what is added to counts of letter pairs.
 SAMPLE, ALPHA, GAIN, LENGTH, SMOOTH = 4_000, 0.05, 0.75, 16, 0.05
+#: Characters of a labelled value, at most; longer ones are found and masked like others, but not fitted on.
+LABEL = 200
 
 CLASSES = {c: "0" for c in "0123456789"} | {c: "a" for c in "abcdef"} | {c: "g" for c in "ghijklmnopqrstuvwxyz"} | {c: "A" for c in "ABCDEF"} | {c: "G" for c in "GHIJKLMNOPQRSTUVWXYZ"} | {c: c for c in "+/_.=-"}
 WIDTH = {k: list(CLASSES.values()).count(k) for k in set(CLASSES.values())}
@@ -228,7 +230,7 @@ def _labelled(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
         yield give(lowest.rows())
 
     df = docs.select("text").mapInArrow(values, "kind string, value string, hash long")
-    df = shared(df.select("kind", F.substring("value", 1, 200).alias("value"), "hash").distinct())
+    df = shared(df.where(F.length("value") <= LABEL).distinct())
     lowest = lambda d, h: d.orderBy(h, "kind", "value").limit(sample).collect()
     found = lowest(df.where("kind <> 'word'"), F.xxhash64("kind", "value")) + lowest(df.where("kind = 'word'"), F.col("hash"))
     return sorted((r["kind"], r["value"]) for r in found)
