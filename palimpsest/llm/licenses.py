@@ -1,7 +1,7 @@
 """License scans: canonical digests of whole texts, and of single lines, looked up among known licenses' digests.
 
 The canonical form is lower case, without copyright lines, with equivalent spellings made one and every run of other
-characters than letters and digits a single blank.
+characters than letters and digits, of any script, a single blank.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Spellings that licence matching treats alike (fixed values): each first one becomes the second.
 SPELLINGS = {
     "licence": "license",
@@ -102,7 +104,7 @@ def canonical_text(text: str) -> str:
     text = text.lower()
     for a, b in SPELLINGS.items():
         text = text.replace(a, b)
-    return re.sub(r"[^a-z0-9]+", " ", re.sub(COPYRIGHT, "\n", text)).strip(" ")
+    return re.sub(r"[\W_]+", " ", re.sub(COPYRIGHT, "\n", text)).strip(" ")
 
 
 def digest(text: str) -> str:
@@ -122,26 +124,38 @@ def _canonical(text: Column) -> Column:
     text = F.lower(F.coalesce(text, F.lit("")))
     for a, b in SPELLINGS.items():
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.regexp_replace(text, COPYRIGHT, "\n"), r"[^a-z0-9\n]+", " ")
+    return F.regexp_replace(F.regexp_replace(text, COPYRIGHT, "\n"), r"[^\p{L}\p{N}\n]+", " ")
+
+
+def canonical_digest(text: Column) -> Column:
+    """SHA-256 of the canonical form of a whole text."""
+    return F.sha2(F.trim(F.regexp_replace(_canonical(text), "[ \n]+", " ")), 256)
+
+
+def known_digests(texts: DataFrame) -> DataFrame:
+    """(license, text) -> (digest, license), for `scan`; of several names of one text the first by code point."""
+    return texts.where("text is not null").groupBy(canonical_digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, known_table: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license, notices for each row of docs.
 
     digest is SHA-256 of the whole text's canonical form, license the known licence with that digest, or null; notices
     names the licences that single lines stand for, sorted and joined by commas. A null text counts as empty and matches
-    nothing. The known digests, a few dozen, are broadcast and joined. Extra columns are not read.
+    nothing. known_table, (digest, license) with one row a digest, stands for the built-in few dozen; either is broadcast
+    if its counted rows are few, else the join is shuffled. Extra columns are not read.
     """
     spark = docs.sparkSession
     whole, lines = known()
-    table = spark.createDataFrame(sorted(whole.items()), "digest string, license string")
+    table = spark.createDataFrame(sorted(whole.items()), "digest string, license string") if known_table is None else known_table.select("digest", "license")
+    table = small(table, len(whole) if known_table is None else table.count())
     named = F.create_map(*[F.lit(x) for pair in sorted(lines.items()) for x in pair])
     df = docs.select("doc_id", _canonical(F.col("text")).alias("text"))
     digests = F.transform(F.split("text", "\n"), lambda x: F.sha2(F.trim(x), 256))
     found = F.array_intersect(digests, F.array(*[F.lit(x) for x in sorted(lines)]))
     found = F.array_sort(F.array_distinct(F.transform(found, lambda x: F.element_at(named, x))))
     df = df.select("doc_id", F.sha2(F.trim(F.regexp_replace("text", "[ \n]+", " ")), 256).alias("digest"), F.array_join(found, ",").alias("notices"))
-    return df.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license", "notices")
+    return df.join(table, "digest", "left").select("doc_id", "digest", "license", "notices")
 
 
 def oracle() -> str:
@@ -151,7 +165,7 @@ def oracle() -> str:
     for a, b in SPELLINGS.items():
         text = f"replace({text}, {quoted(a)}, {quoted(b)})"
     newline = "chr(10)"
-    text = f"regexp_replace(regexp_replace({text}, {quoted(COPYRIGHT)}, {newline}, 'g'), '[^a-z0-9\\n]+', ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, {quoted(COPYRIGHT)}, {newline}, 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
     whole, lines = known()
     values = lambda d: ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(d.items()))
     return f"""
