@@ -16,6 +16,8 @@ from .common import shared, small
 WORDS, FRACTION = 5, 1 / 8
 #: Ids that share a window; the first document of the next span joins them.
 SPAN = 256
+#: Spans that share a window; levels of windows, so that any two spans' numbers agree above them.
+WIDTH, LEVELS = 4_096, 5
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -57,36 +59,37 @@ def as_text(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def _following(ids: DataFrame) -> DataFrame:
-    """(span, first, after): of each span of ids that has rows, its lowest id, and the next such span's.
+def _next_keys(keys: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(key, first) of whole-number keys -> also next: the first of the next higher key, null for the highest.
 
-    Spans of spans bound what one window task sees: only the lowest span of each wider one meets the other such.
+    A window sees the keys that agree but for their lowest WIDTH; what lies beyond it comes from the lowest key of each
+    such group, found in the same way, until all keys agree. So no task sees more than WIDTH rows, however sparse the ids.
     """
-    first = ids.groupBy("span").agg(F.min("doc_id").alias("first"))
-    wide = first.withColumn("wide", F.floor(F.col("span") / 4096))
-    heads = wide.groupBy("wide").agg(F.min(F.struct("span", "first")).alias("head"))
-    heads = heads.select("wide", F.lead("head").over(Window.orderBy("wide")).alias("next"))
-    wide = wide.withColumn("after", F.lead("first").over(Window.partitionBy("wide").orderBy("span")))
-    return wide.join(heads, "wide").select("span", "first", F.coalesce("after", F.col("next.first")).alias("after"))
+    if not levels:
+        return keys.withColumn("next", F.lead("first").over(Window.orderBy("key")))
+    keys = keys.withColumn("up", F.floor(F.col("key") / WIDTH))
+    above = _next_keys(keys.groupBy("up").agg(F.min_by("first", "key").alias("first")).withColumnRenamed("up", "key"), levels - 1)
+    own = keys.withColumn("own", F.lead("first").over(Window.partitionBy("up").orderBy("key")))
+    return own.join(above.select(F.col("key").alias("up"), "next"), "up").select("key", "first", F.coalesce("own", "next").alias("next"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, sketch) -> also next_text, next_sketch: those of the row after it by doc_id, text; the last row's are the first's.
+    """docs(doc_id, text) -> also span and extra, and more rows: with extra 1, a span's copy of the row that follows its last.
 
-    Ids are cut into spans of SPAN; each span's window also holds a copy of the next span's first row, so every text is
-    shuffled once and no task sees more than a span and a row, unless ids repeat. A null id comes first.
+    Rows follow each other by doc_id, text, and the first follows the last. Ids are cut into spans of SPAN; each span also holds a copy of the next span's first row, so every text is shuffled
+    once and no task sees more than a span and a row, unless ids repeat. A null id comes first.
     """
     docs = docs.withColumn("span", F.coalesce(F.floor(F.col("doc_id") / SPAN), F.lit(-(2**62))))
-    spans = shared(_following(docs.select("doc_id", "span")))
+    spans = docs.groupBy(F.col("span").alias("key")).agg(F.min("doc_id").alias("first"))
+    spans = shared(_next_keys(shared(spans)))
     n = spans.count()
-    ends = spans.agg(F.min("span").alias("low"), F.max("span").alias("high"), F.min_by("first", "span").alias("first")).first()
-    links = spans.select(F.col("span").alias("to"), F.coalesce("after", F.lit(ends["first"])).alias("of"))
+    ends = spans.agg(F.min_by("first", "key").alias("first")).first()
+    # a null first is the null id's own; only the highest key has no next
+    high = spans.agg(F.max("key")).first()[0]
+    links = spans.select(F.col("key").alias("to"), F.when(F.col("key") == F.lit(high), F.lit(ends["first"])).otherwise(F.col("next")).alias("of"))
     extra = docs.drop("span").join(small(links, n), F.col("doc_id").eqNullSafe(F.col("of"))).drop("of").withColumnRenamed("to", "span")
-    extra = extra.groupBy("span").agg(F.min(F.struct("doc_id", "text", "sketch")).alias("x")).select("x.*", "span", F.lit(1).alias("extra"))
-    rows = docs.withColumn("extra", F.lit(0)).unionByName(extra)
-    order = Window.partitionBy("span").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
-    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))
-    return rows.where("extra = 0").drop("span", "extra")
+    extra = extra.groupBy("span").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("x.*", "span", F.lit(1).alias("extra"))
+    return docs.withColumn("extra", F.lit(0)).unionByName(extra)
 
 
 def fingerprints(docs: DataFrame, k: int = WORDS, fraction: float = FRACTION) -> DataFrame:
@@ -97,7 +100,9 @@ def fingerprints(docs: DataFrame, k: int = WORDS, fraction: float = FRACTION) ->
     its own next. Extra columns are not read.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(own.withColumn("sketch", sketch(F.col("text"), k, fraction)))
+    df = with_next(own).withColumn("sketch", sketch(F.col("text"), k, fraction))
+    order = Window.partitionBy("span").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
+    df = df.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).where("extra = 0")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     df = df.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
