@@ -13,6 +13,8 @@ from .common import shared
 
 #: Queries that one pass over the candidates serves, on average at most; dimensions accumulated between two bounds.
 QUERIES, BLOCK = 8_192, 16
+#: Queries and candidates that meet at once; the share of their pairs below which survivors go on pair by pair; tasks that give rows, at least.
+GROUP, CHUNK, SPARSE, TASKS = 256, 1_024, 0.1, 256
 SCALE = 256.0
 
 
@@ -25,12 +27,13 @@ def _vectors(rows: list[list[float]]) -> np.ndarray:
     return np.floor(out * SCALE)
 
 
-def _blocks(x: np.ndarray, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Vertical layout: the vectors by blocks of dimensions, and before each block the norm of what remains."""
-    x = np.pad(x, ((0, 0), (0, max(0, width - x.shape[1]))))
-    cuts = range(0, max(width, 1), BLOCK)
-    mass = [np.sqrt((x[:, c:] ** 2).sum(1)) for c in cuts]
-    return [np.ascontiguousarray(x[:, c : c + BLOCK]) for c in cuts], mass
+def _blocks(x: np.ndarray, order: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Vertical layout: the vectors by blocks of dimensions, in the given order, and before each block the norm of what remains."""
+    x = np.pad(x, ((0, 0), (0, max(0, len(order) - x.shape[1]))))[:, order]
+    cuts = range(0, max(len(order), 1), BLOCK)
+    square = [(x[:, c : c + BLOCK] ** 2).sum(1) for c in cuts]
+    mass = np.sqrt(np.cumsum(square[::-1], axis=0)[::-1])
+    return [np.ascontiguousarray(x[:, c : c + BLOCK]) for c in cuts], list(mass)
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> int:
@@ -38,44 +41,97 @@ def _exact(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Best:
-    """The k best (score, id) of each query so far."""
+    """The k best (score, id) of each query so far. Queries of like direction are in one group, so that a group needs few candidates.
+
+    survivors counts the pairs of query and candidate that each block of dimensions was computed for, and all pairs last.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
-        self.ids, self.x, self.k = ids, x, k
+        self.at = self._near(x)
+        self.ids, self.x, self.k = ids[self.at], x[self.at], k
         self.score = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), -1, np.int64)
-        self.width, self.split = -1, ([], [])
+        self.width, self.split, self.order = -1, ([], []), np.zeros(0, np.int64)
+        self.survivors = np.zeros(1, np.int64)
+
+    @staticmethod
+    def _near(x: np.ndarray) -> np.ndarray:
+        """Order of the queries: by the nearest of some of them, by direction."""
+        if len(x) <= GROUP:
+            return np.arange(len(x))
+        unit = x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300)
+        centre = unit[:: max(1, len(x) // (len(x) // GROUP + 1))]
+        return np.argsort((unit @ centre.T).argmax(1), kind="stable")
 
     def offer(self, ids: np.ndarray, x: np.ndarray) -> None:
-        """Take candidates in: partial sums grow a block at a time, and candidates that no query can still need drop out."""
+        """Take candidates in, the longest first: partial sums grow a block at a time, and candidates that can't be among a query's best drop out."""
+        if not len(ids) or not len(self.ids):
+            return
         width = max(self.x.shape[1], x.shape[1])
         if width != self.width:
-            self.width, self.split = width, _blocks(self.x, width)
-        (parts, rest), (own, mass) = self.split, _blocks(x, width)
+            # heavy dimensions first: what remains gets small soon
+            self.width, self.order = width, np.arange(width)
+            self.order[: self.x.shape[1]] = np.argsort(-(self.x**2).sum(0), kind="stable")
+            self.split = _blocks(self.x, self.order)
+            self.survivors = np.zeros(len(self.split[0]) + 1, np.int64)
         wide = float(np.abs(self.x).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(width, 1) >= 2.0**52
-        live, total = np.arange(len(ids)), np.zeros((len(self.ids), len(ids)))
+        own, mass = _blocks(x, self.order)
+        for c in np.array_split(by := np.argsort(-mass[0], kind="stable"), -(-len(by) // CHUNK)):
+            parts, rest = [p[c] for p in own], [m[c] for m in mass]
+            for a in range(0, len(self.ids), GROUP):
+                group = slice(a, min(a + GROUP, len(self.ids)))
+                if wide:
+                    i, j = np.divmod(np.arange((group.stop - a) * len(c)), len(c))
+                    score = np.array([float(_exact(self.x[a + q], x[c[w]])) for q, w in zip(i, j, strict=True)])
+                else:
+                    i, j, score = self._pairs(group, parts, rest)
+                other = self.ids[a + i] != ids[c[j]]
+                self._keep(group, i[other], ids[c[j[other]]], score[other])
+
+    def _pairs(self, group: slice, own: list[np.ndarray], mass: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, score) of a group's pairs that may be among the query's best."""
+        parts, rest = ([x[group] for x in y] for y in self.split)
+        least = self.score[group, -1]
+        # a bound may be short by what rounding takes
+        slack = 1 + 1e-9
+        live, total = np.arange(len(mass[0])), np.zeros((len(least), len(mass[0])))
+        self.survivors[-1] += total.size
         for b in range(len(parts)):
+            may = total + rest[b][:, None] * mass[b][live][None] * slack >= least[:, None]
+            if may.mean() < SPARSE:
+                i, j = np.nonzero(may)
+                score, j = total[i, j], live[j]
+                for later in range(b, len(parts)):
+                    self.survivors[later] += len(i)
+                    score = score + np.einsum("pd,pd->p", parts[later][i], own[later][j])
+                    more = rest[later + 1][i] * mass[later + 1][j] * slack if later + 1 < len(parts) else 0
+                    keep = score + more >= least[i]
+                    i, j, score = i[keep], j[keep], score[keep]
+                return i, j, score
+            need = may.any(0)
+            if need.mean() < 0.75:
+                live, total = live[need], total[:, need]
+            self.survivors[b] += total.size
             total += parts[b] @ own[b][live].T
-            last = b + 1 == len(parts)
-            if not wide and np.isfinite(self.score[:, -1]).all():
-                more = 0 if last else rest[b + 1][:, None] * mass[b + 1][live][None] * (1 + 1e-9)
-                need = (total + more >= self.score[:, -1:]).any(0)
-                if last or need.mean() < 0.75:
-                    live, total = live[need], total[:, need]
-        if not len(live):
+        i, j = np.nonzero(total >= least[:, None])
+        return i, live[j], total[i, j]
+
+    def _keep(self, group: slice, i: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Merge new (query, id, score) into the best of a group."""
+        if not len(i):
             return
-        if wide:
-            total = np.array([[float(_exact(q, x[j])) for j in live] for q in self.x])
-        total = np.where(self.ids[:, None] == ids[live][None], -np.inf, total)
-        score, found = np.hstack([self.score, total]), np.hstack([self.found, np.broadcast_to(ids[live], total.shape)])
-        if score.shape[1] > 8 * self.k:
-            # all that reach the k-th highest score stay, so that ties are settled by id
-            least = np.partition(score, -self.k, axis=1)[:, -self.k][:, None]
-            width = int((score >= least).sum(1).max())
-            top = np.argsort(-score, axis=1, kind="stable")[:, :width]
-            score, found = np.take_along_axis(score, top, 1), np.take_along_axis(found, top, 1)
-        order = np.lexsort((found, -score), axis=1)[:, : self.k]
-        self.score, self.found = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
+        n = group.stop - group.start
+        old = self.found[group] >= 0
+        query = np.concatenate([np.nonzero(old)[0], i])
+        score, found = np.concatenate([self.score[group][old], score]), np.concatenate([self.found[group][old], ids])
+        order = np.lexsort((found, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        top = place < self.k
+        order, query, place = order[top], query[top], place[top]
+        new, own = np.full((n, self.k), -np.inf), np.full((n, self.k), -1, np.int64)
+        new[query, place], own[query, place] = score[order], found[order]
+        self.score[group], self.found[group] = new, own
 
 
 def usable(table: DataFrame, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -93,7 +149,9 @@ def search(table: DataFrame, is_query, k: int = 5, id_: str = "vec_id", vector:
     keeps its lowest vector; a candidate row that repeats takes a place each time. No queries, or no candidates, give
     no rows.
 
-    The queries go over the candidates in blocks of about QUERIES; a block is what the driver holds and broadcasts.
+    The queries go over the candidates in blocks of about QUERIES, and the candidates are read once for each block; a
+    block is what the driver holds and broadcasts. A task gives k rows for each query at most, so candidates are read by
+    no more tasks than keep the cluster busy.
     """
     rows = usable(table, id_, vector)
     stated = shared(rows.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
@@ -115,15 +173,11 @@ def _pass(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> Da
         ids, x = given.value
         best = Best(ids, x, k)
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            vectors = _vectors(batch.column(1).to_pylist())
-            for i in range(0, len(own), 1024):
-                best.offer(own[i : i + 1024], vectors[i : i + 1024])
-        keep = best.found >= 0 if len(ids) else np.zeros((0, k), bool)
-        q, j = np.nonzero(keep & np.isfinite(best.score))
+            best.offer(batch.column(0).to_numpy(), _vectors(batch.column(1).to_pylist()))
+        q, j = np.nonzero((best.found >= 0) & np.isfinite(best.score))
         score = best.score[q, j]
         whole = [int(s) for s in np.clip(score, -(2.0**63), 2.0**63 - 1024)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.found[q, j]), pa.array(whole, pa.int64())], ["query_id", "vec_id", "score"])
-
-    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+        yield pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.found[q, j]), pa.array(whole, pa.int64())], ["query_id", "vec_id", "score"])
 
+    tasks = max(TASKS, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.coalesce(tasks).mapInArrow(run, "query_id long, vec_id long, score long")
