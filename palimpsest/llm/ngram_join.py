@@ -20,13 +20,19 @@ from .common import U, mix64, pieces, shared, sliding_hash, small, split_words,
 from .components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
+#: Hashes of a signature, at most: more rows in a band leave fewer candidates, and need more bands.
+HASHES = 96
 #: Classes and n-grams in a chunk, at most on average.
 CHUNK_CLASSES, CHUNK_GRAMS = 4_000, 1_500_000
 
 
-def banding(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 4) -> tuple[int, int]:
-    """(bands, rows): as many bands of `rows` as a pair at the threshold needs to meet with the target recall."""
-    return int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows))), rows
+def banding(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
+    """(bands, rows): the most rows for which as many bands as a pair at the threshold needs, to meet with the target recall, take `hashes` hashes at most."""
+    for rows in range(16, 0, -1):
+        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - threshold**rows)))
+        if bands * rows <= hashes or rows == 1:
+            return bands, rows
+    raise AssertionError
 
 
 def shingles(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
