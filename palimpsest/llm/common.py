@@ -1,9 +1,7 @@
-"""What several operators share: checkpoints, size-checked broadcasts and vectorised hashing of words."""
+"""What several operators share: size-checked broadcasts and vectorised hashing of words."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -11,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared  # noqa: F401  the operators' own name for it
+
 #: Words of a text: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,21 +23,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder that the cluster shares; a temporary folder only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints"))
-    out = df.checkpoint()
-    # shuffle files that no plan needs any more go when the driver collects its garbage
-    gc.collect()
-    sc._jvm.System.gc()
-    return out
+#: Bytes of rows that are broadcast, at most, and what a value of a type that has no fixed size is taken to have.
+BROADCAST, VALUE = 32 << 20, 40
 
 
-def small(df: DataFrame, rows: int, max_rows: int = 500_000) -> DataFrame:
-    """Mark df for a broadcast if its counted rows are few enough; else leave the choice of a shuffled join to Spark."""
-    return F.broadcast(df) if rows <= max_rows else df
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark df for a broadcast if its counted rows hold BROADCAST bytes at most; else leave the choice of a shuffled join to Spark."""
+    fixed = {"int": 8, "bigint": 8, "double": 8, "float": 8, "boolean": 8, "smallint": 8, "tinyint": 8, "date": 8, "timestamp": 8}
+    width = 16 + sum(fixed.get(kind, VALUE) for _, kind in df.dtypes)
+    return F.broadcast(df) if rows * width <= BROADCAST else df
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -10,6 +10,7 @@ each occurrence, by joins on the counts of minimizers and edges.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,12 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, encode, mix64, pieces, shared, sliding_hash, sliding_min, small, starts_within
+from .common import U, encode, mix64, pieces, shared, sliding_hash, sliding_min, starts_within
 
 #: Turns the texts of a batch into items, 64-bit hashes, and where each text's begin.
 Items = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
-#: Parts of texts that are broadcast, at most.
-PARTS = 20_000
 #: Bits of a place among the k-mers that minimizers are sought in at once; the rest of 64 is for the hash. Longer texts take several turns.
 PLACE_BITS = 24
 #: Stands for a null doc_id: before all others.
@@ -36,10 +35,8 @@ def byte_items(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_mark(text: str | None) -> int:
-    """Tells texts of one doc_id apart: 32 bits of a digest."""
-    import zlib
-
-    return zlib.crc32(encode(text)) - (1 << 31)
+    """Tells texts of one doc_id apart: 64 bits of a digest."""
+    return int.from_bytes(hashlib.blake2b(encode(text), digest_size=8).digest(), "big", signed=True)
 
 
 def ids_repeat(docs: DataFrame) -> bool:
@@ -86,18 +83,20 @@ def _anchors(docs: DataFrame, items: Items, k: int, window: int, repeat: bool) -
             for part in pieces(texts, [len(t or "") for t in texts], 1_000_000):
                 text, place, value, lo, hi = minimizers(*items(part), k, window)
                 ids = batch.column(0).slice(done, len(part)).to_numpy()
-                marks = np.array([text_mark(t) if repeat else 0 for t in part], np.int32)
+                marks = np.array([text_mark(t) if repeat else 0 for t in part], np.int64)
                 done += len(part)
                 packed = (place << 16) | ((place - lo) << 8) | (hi - lo)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[text]), pa.array(marks[text]), pa.array(packed)], ["a", "d", "mark", "p"])
 
-    return docs.select(own_id(), "text").mapInArrow(run, "a long, d long, mark int, p long")
+    return docs.select(own_id(), "text").mapInArrow(run, "a long, d long, mark long, p long")
 
 
 def _repeated(docs: DataFrame, items: Items, k: int, window: int, spread: bool, repeat: bool) -> DataFrame:
     anchors = _anchors(docs, items, k, window, repeat)
     counts = anchors.groupBy("a").agg(F.count("*").alias("n"), *([F.min("d").alias("low"), F.max("d").alias("high")] if spread else []))
-    return shared(anchors.join(counts.where("low < high" if spread else "n > 1").drop("high"), "a"))
+    # written first, so that both sides of the join are plain exchanges: a k-mer of very many texts can then be split
+    counts = shared(counts.where("low < high" if spread else "n > 1").drop("high"))
+    return shared(anchors.join(counts, "a"), counts)
 
 
 def occurrences(docs: DataFrame, items: Items, k: int, window: int, spread: bool, repeat: bool) -> DataFrame:
@@ -109,10 +108,10 @@ def occurrences(docs: DataFrame, items: Items, k: int, window: int, spread: bool
     """
     if window - k > 254:
         raise ValueError("a window may hold 255 k-mers at most")
-    found = _repeated(docs, items, k, window, spread, repeat)
+    repeated = _repeated(docs, items, k, window, spread, repeat)
     place = F.shiftright("p", 16)
     lo = place - F.shiftright("p", 8).bitwiseAND(255)
-    found = found.withColumns({"place": place, "lo": lo, "hi": lo + F.col("p").bitwiseAND(255)}).drop("p")
+    found = repeated.withColumns({"place": place, "lo": lo, "hi": lo + F.col("p").bitwiseAND(255)}).drop("p")
     doc = Window.partitionBy("d", "mark").orderBy("place")
     before = lambda c: F.lag(c).over(doc)
     near = before("hi") + 1 == F.col("lo")
@@ -121,7 +120,8 @@ def occurrences(docs: DataFrame, items: Items, k: int, window: int, spread: bool
     edges = edges.drop("n_before").join(often, "edge", "left").withColumn("new", F.when(F.col("n_edge") == F.col("n"), 0).otherwise(1))
     runs = edges.drop("edge", "n_edge", "n").withColumn("run", F.sum("new").over(doc)).groupBy("d", "mark", "run")
     low = [F.min("low").alias("low")] if spread else []
-    return runs.agg(F.min_by("a", "place").alias("path"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("place").alias("first"), F.max("place").alias("last"), *low).drop("run")
+    runs = runs.agg(F.min_by("a", "place").alias("path"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("place").alias("first"), F.max("place").alias("last"), *low)
+    return shared(runs.drop("run"), repeated)
 
 
 def by_text(rows: DataFrame, *columns: str) -> DataFrame:
@@ -138,19 +138,18 @@ def joined_spans(rows: DataFrame) -> DataFrame:
 
 
 def with_parts(docs: DataFrame, lists: DataFrame, repeat: bool, how: str = "inner") -> DataFrame:
-    """Texts with their parts. The lists are broadcast if they hold PARTS parts at most, under 1 MB; else both are shuffled."""
-    parts = lists.agg(F.sum(F.size("parts"))).first()[0] or 0
-    return marked(docs, repeat).join(small(lists, parts, PARTS), ["d", "mark"], how)
+    """Texts with their parts. Both are dealt by text; a task hashes its lists, which are no longer than its texts, and sorts neither."""
+    return marked(docs, repeat).join(lists.hint("shuffle_hash"), ["d", "mark"], how)
 
 
 def marked(docs: DataFrame, repeat: bool) -> DataFrame:
     """docs as (doc_id, d, text, mark)."""
     if not repeat:
-        return docs.select("doc_id", own_id(), "text", F.lit(0).alias("mark"))
+        return docs.select("doc_id", own_id(), "text", F.lit(0).cast("long").alias("mark"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_mark(t) for t in batch.column(2).to_pylist()], pa.int32())], ["doc_id", "d", "text", "mark"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_mark(t) for t in batch.column(2).to_pylist()], pa.int64())], ["doc_id", "d", "text", "mark"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", own_id(), "text").mapInArrow(run, f"doc_id {kind}, d long, text string, mark int")
+    return docs.select("doc_id", own_id(), "text").mapInArrow(run, f"doc_id {kind}, d long, text string, mark long")

@@ -223,10 +223,10 @@ def _stretches(texts: DataFrame, window: int, with_bytes: bool) -> DataFrame:
                     cut += [data[a : b + window] for a, b in zip(lo[at[i] : at[i + 1]].tolist(), hi[at[i] : at[i + 1]].tolist(), strict=True)]
                 digest = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in cut), np.int64)
                 own, of = slice(at[rows[0]], at[rows[-1] + 1]), np.repeat(rows, np.diff(at)[rows])
-                columns = [path[own], digest[::2], digest[1::2], d[of], mark[of].astype(np.int32), lo[own].astype(np.int32), np.array([len(s) for s in cut], np.int32)]
+                columns = [path[own], digest[::2], digest[1::2], d[of], mark[of], lo[own].astype(np.int32), np.array([len(s) for s in cut], np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.array(cut, pa.binary())] * with_bytes, names)
 
-    schema = "path long, x long, y long, d long, mark int, lo int, size int" + ", bytes binary" * with_bytes
+    schema = "path long, x long, y long, d long, mark long, lo int, size int" + ", bytes binary" * with_bytes
     return texts.select("d", "mark", "text", "parts").mapInArrow(run, schema)
 
 
@@ -238,7 +238,7 @@ def _sorted_shards(rows: DataFrame, window: int) -> DataFrame:
 
         def give() -> pa.RecordBatch:
             found = [(*key, a, b) for key, a, b in repeats_of(own, window)] if len(own) > 1 else []
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)], ["d", "mark", "lo", "s", "e"])
 
         for batch in batches:
@@ -251,34 +251,48 @@ def _sorted_shards(rows: DataFrame, window: int) -> DataFrame:
         if own:
             yield give()
 
-    return rows.select("shard", "d", "mark", "lo", "bytes").mapInArrow(run, "d long, mark int, lo int, s int, e int")
+    return rows.select("shard", "d", "mark", "lo", "bytes").mapInArrow(run, "d long, mark long, lo int, s int, e int")
 
 
-def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int = SHARD, repeat: bool = True) -> DataFrame:
-    """(d, mark, parts): by text, the byte spans (s, e) of windows that also start earlier."""
-    paths = shared(occurrences(docs, byte_items, k, window, False, repeat))
-    lists = shared(by_text(paths, "path", "lo", "hi"))
-    seen = shared(_stretches(with_parts(docs, lists, repeat), window, False))
-    first = seen.groupBy("path", "x", "y").agg(F.min(F.struct("d", "mark", "lo")).alias("f"), F.min("size").alias("size"))
-    first = shared(first)
+def _summed(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of stretches: the earliest of each kind as f, and where the others are."""
+    first = shared(seen.groupBy("path", "x", "y").agg(F.min(F.struct("d", "mark", "lo")).alias("f"), F.min("size").alias("size")))
     again = seen.join(first.drop("size"), ["path", "x", "y"]).where(F.struct("d", "mark", "lo") != F.col("f"))
-    again = again.select("d", "mark", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e"))
+    return first, again.select("d", "mark", F.col("lo").alias("s"), (F.col("lo") + F.col("size")).alias("e"))
+
+
+def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int = SHARD, repeat: bool = True) -> DataFrame:
+    """(d, mark, parts): by text, the byte spans (s, e) of windows that also start earlier.
+
+    A path whose differing stretches hold more than `shard` bytes would fill a task however many there are: its stretches
+    are cut into their windows, which are summed up in the same way as stretches are and need no sorting.
+    """
+    paths = occurrences(docs, byte_items, k, window, False, repeat)
+    lists = shared(by_text(paths, "path", "lo", "hi"), paths)
+    seen = shared(_stretches(with_parts(docs, lists, repeat), window, False), lists)
+    first, again = _summed(seen)
+    again = shared(again, seen)
     several = first.groupBy("path").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1")
-    chosen = shared(first.join(several, "path").select("path", F.col("f.d").alias("d"), F.col("f.mark").alias("mark"), F.col("f.lo").alias("lo"), F.col("size")))
-    total = chosen.agg(F.sum("size")).first()[0] or 0
+    chosen = first.join(several, "path").select("path", F.col("f.d").alias("d"), F.col("f.mark").alias("mark"), F.col("f.lo").alias("lo"), (F.col("f.lo") + F.col("size") - window).alias("hi"), "bytes")
+    chosen = shared(chosen, first)
+    one, many = (chosen.where(c).drop("bytes") for c in (F.col("bytes") <= shard, F.col("bytes") > shard))
+    total = one.agg(F.sum(F.col("hi") - F.col("lo") + window)).first()[0] or 0
     shards = max(1, -(-total // shard))
-    chosen = by_text(chosen.withColumn("hi", F.col("lo") + F.col("size") - window), "path", "lo", "hi")
-    chosen = shared(chosen)
-    rows = _stretches(with_parts(docs, chosen, repeat), window, True)
+    lists = shared(by_text(one, "path", "lo", "hi"))
+    rows = _stretches(with_parts(docs, lists, repeat), window, True)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(shards)))
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard")
     starts = _sorted_shards(rows, window)
-    partly = starts.select("d", "mark", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e") - 1 + window).alias("e"))
-    return joined_spans(again.union(partly))
+    partly = shared(starts.select("d", "mark", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e") - 1 + window).alias("e")), lists)
+    lists = by_text(many.select("path", "d", "mark", F.explode(F.sequence("lo", "hi")).alias("lo")).withColumn("hi", F.col("lo")), "path", "lo", "hi")
+    windows = shared(_stretches(with_parts(docs, lists, repeat), window, False), chosen)
+    alone, hot = _summed(windows)
+    hot = shared(hot, alone, windows)
+    return shared(joined_spans(again.union(partly).union(hot)), again, partly, hot)
 
 
-def strip_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of each row of docs; kept is the bytes that stay.
+def strip_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, kept: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with kept, kept of each row of docs; kept is the bytes that stay.
 
     A byte goes if a string of `window` bytes that covers it also starts earlier: in a document with a smaller doc_id, or
     before it in the same one; overlaps count, and strings are judged on the input. Null, empty and shorter texts lose
@@ -286,12 +300,12 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
     the same. Extra columns are not read.
     """
     repeat = ids_repeat(docs)
-    spans = shared(repeated_bytes(docs, window, k, repeat=repeat))
+    spans = repeated_bytes(docs, window, k, repeat=repeat)
     joined = with_parts(docs, spans, repeat, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, runs, digest, kept = [], [], [], [], []
+            n, gone, runs, digest, rest = [], [], [], [], []
             for text, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = encode(text)
                 n.append(len(data))
@@ -306,8 +320,10 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFram
                 gone.append(n[-1] - len(data))
                 runs.append(count)
                 digest.append(hashlib.sha256(data).hexdigest())
-                kept.append(data)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in (n, gone, runs)], pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                if kept:
+                    rest.append(data)
+            columns = [batch.column(0), *[pa.array(x, pa.int64()) for x in (n, gone, runs)], pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(rest, pa.binary())] * kept, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "parts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.select("doc_id", "text", "parts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
