@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..scratch import shared  # noqa: F401  the operators' own name for it
 
@@ -23,6 +25,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of rows in a batch that goes to Python, about, and Spark's setting of it.
+BATCH, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of BATCH bytes where the session names no size, so that neither a worker nor the memory beside an executor's heap holds thousands of texts."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 #: Bytes of rows that are broadcast, at most, and what a value of a type that has no fixed size is taken to have.
 BROADCAST, VALUE = 32 << 20, 40
 

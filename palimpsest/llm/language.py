@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import in_batches, pieces
 
 ORDERS, BITS, TABLE_BYTES = (1, 2, 3), 16, 64 << 20
 UNKNOWN = "und"
@@ -104,7 +104,7 @@ def train(docs: DataFrame, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -
         yield _tables(sums)
 
     schema = "i int, n long, counts binary"
-    tables = docs.mapInArrow(count, schema).repartition(SUMS).mapInArrow(_add_up, schema)
+    tables = in_batches(in_batches(docs, count, schema).repartition(SUMS), _add_up, schema)
     counts, priors = np.zeros((len(langs), size)), np.zeros(len(langs))
     for row in tables.toLocalIterator():
         counts[row["i"]] += np.frombuffer(row["counts"], np.int64)
@@ -130,7 +130,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
             texts = batch.column(len(keep)).to_pylist()
             pred, best, mean = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
             known = [i for i, t in enumerate(texts) if langs and _has_letter(t)]
-            for part in pieces(known, [len(texts[i]) for i in known]):
+            for part in pieces(known, [len(texts[i]) for i in known], 200_000):
                 grams, at = _grams([texts[i] for i in part], orders, bits)
                 total = np.tile(table[-1].astype(float), (len(part), 1))
                 for g in grams:
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(pred, pa.string()), pa.array(best), pa.array(mean)][: len(names)]], [*keep, *names])
 
     kinds = [f"`{c}` {columns.schema[c].dataType.simpleString()}" for c in keep]
-    return columns.mapInArrow(score, ", ".join([*kinds, *[f"{n} {k}" for n, k in zip(names, ("string", "double", "double"), strict=False)]]))
+    return in_batches(columns, score, ", ".join([*kinds, *[f"{n} {k}" for n, k in zip(names, ("string", "double", "double"), strict=False)]]))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import U, mix64, pieces, shared, sliding_hash, small, split_words, word_hashes
+from .common import U, in_batches, mix64, pieces, shared, sliding_hash, small, split_words, word_hashes
 from .components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Hashes of a signature, at most: more rows in a band leave fewer candidates, and need more bands.
 HASHES = 96
+#: Characters of texts that are hashed at once, if they are not one text's: few, so that a processor's cache holds their hashes.
+PIECE = 200_000
 #: Classes and n-grams in a chunk, at most on average.
 CHUNK_CLASSES, CHUNK_GRAMS = 4_000, 1_500_000
 
@@ -66,7 +68,7 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             keys, sizes, out = [], [], []
-            for part in pieces(texts, [len(t or "") for t in texts]):
+            for part in pieces(texts, [len(t or "") for t in texts], PIECE):
                 grams, at = shingles(part, k)
                 some = np.flatnonzero(np.diff(at))
                 low = np.zeros((len(part), bands * rows), U)
@@ -84,7 +86,7 @@ def _signatures(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], ["doc_id", "class", "n", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, class binary, n long, bands array<long>")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, class binary, n long, bands array<long>")
 
 
 def _sets(candidates: DataFrame, k: int) -> DataFrame:
@@ -94,7 +96,7 @@ def _sets(candidates: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             keep, values = [], []
-            for part in pieces(list(range(len(texts))), [len(t or "") for t in texts]):
+            for part in pieces(list(range(len(texts))), [len(t or "") for t in texts], PIECE):
                 grams, at = shingles([texts[i] for i in part], k)
                 for j, i in enumerate(part):
                     own = np.unique(grams[at[j] : at[j + 1]])
@@ -104,7 +106,7 @@ def _sets(candidates: DataFrame, k: int) -> DataFrame:
             lists = pa.array(values, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(keep, pa.int64())) for c in range(3)], lists], ["class", "chunk", "size", "grams"])
 
-    return candidates.select("class", "chunk", "size", "text").mapInArrow(run, "class binary, chunk long, size long, grams array<long>")
+    return in_batches(candidates.select("class", "chunk", "size", "text"), run, "class binary, chunk long, size long, grams array<long>")
 
 
 def _overlaps(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -214,7 +216,7 @@ def _verify(tasks: DataFrame, threshold: float) -> DataFrame:
             out += solve(rows, task[1])
         yield give()
 
-    return tasks.select("one", "two", "chunk", "class", "size", "grams").mapInArrow(run, "class binary, root binary, docs long, classes long")
+    return in_batches(tasks.select("one", "two", "chunk", "class", "size", "grams"), run, "class binary, root binary, docs long, classes long")
 
 
 def _placed(member: DataFrame) -> DataFrame:
@@ -270,13 +272,13 @@ def _with_class(docs: DataFrame, k: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = batch.column(at).to_pylist(), []
-            for part in pieces(texts, [len(t or "") for t in texts]):
+            for part in pieces(texts, [len(t or "") for t in texts], PIECE):
                 grams, first = shingles(part, k)
                 sets = (np.unique(grams[a:b]) for a, b in zip(first[:-1], first[1:], strict=True))
                 keys += [_class(own) if len(own) else None for own in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*batch.schema.names, "__class"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__class", BinaryType())]))
+    return in_batches(docs, run, StructType([*docs.schema.fields, StructField("__class", BinaryType())]))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = WORDS, recall: float = RECALL) -> DataFrame:

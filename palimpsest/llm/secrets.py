@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared
+from .common import in_batches, shared
 
 KINDS = ("assign", "access", "hex")
 #: Fixed formats. The groups before a value take either case; a failing match still uses up its text.
@@ -229,7 +229,7 @@ def _labelled(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
             yield give(found)
         yield give(lowest.rows())
 
-    df = docs.select("text").mapInArrow(values, "kind string, value string, hash long")
+    df = in_batches(docs.select("text"), values, "kind string, value string, hash long")
     df = shared(df.where(F.length("value") <= LABEL).distinct())
     lowest = lambda d, h: d.orderBy(h, "kind", "value").limit(sample).collect()
     found = lowest(df.where("kind <> 'word'"), F.xxhash64("kind", "value")) + lowest(df.where("kind = 'word'"), F.col("hash"))
@@ -291,7 +291,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digest, pa.string()), pa.array(spans, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def mask(docs: DataFrame, sample: int = SAMPLE, sign: str = "[secret]") -> DataFrame:
@@ -327,4 +327,4 @@ def mask(docs: DataFrame, sample: int = SAMPLE, sign: str = "[secret]") -> DataF
                 columns[k] = pa.array(n, batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

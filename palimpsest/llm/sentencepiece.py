@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE_BASE, SEQ_BASE, U, mix64, pieces
+from .common import BYTE_BASE, SEQ_BASE, U, in_batches, mix64, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -277,7 +277,7 @@ class Encoder:
 
     def __init__(self, coder: Coder):
         self.c, self.salt = coder, 0
-        self.pair, self.open = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        self.pair, self.open = np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, bool)
         self._forget()
 
     def _forget(self) -> None:
@@ -311,7 +311,7 @@ class Encoder:
     @staticmethod
     def _slot(key: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return ((key.astype(U) * SEQ_BASE) >> U(44)).astype(np.int64)
+            return ((key.astype(U) * SEQ_BASE) >> U(45)).astype(np.int64)
 
     def _opens(self, last: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Coder.opens, from a table of recent pairs where it has them."""
@@ -540,7 +540,7 @@ def encode(docs: DataFrame, model: str = MODEL, check: bool = True) -> DataFrame
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "round_trip"][: len(columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>" + ", round_trip boolean" * check)
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids array<int>" + ", round_trip boolean" * check)
 
 
 def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
@@ -556,4 +556,4 @@ def decode(tokens: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return in_batches(tokens.select("doc_id", "ids"), run, f"doc_id {kind}, text string")

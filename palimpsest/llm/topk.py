@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared
+from .common import in_batches, shared
 
 #: Queries that one pass over the candidates serves, on average at most; dimensions accumulated between two bounds.
 QUERIES, BLOCK = 8_192, 16
@@ -180,4 +180,4 @@ def _pass(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> Da
         yield pa.RecordBatch.from_arrays([pa.array(best.ids[q]), pa.array(best.found[q, j]), pa.array(whole, pa.int64())], ["query_id", "vec_id", "score"])
 
     tasks = max(TASKS, 4 * rows.sparkSession.sparkContext.defaultParallelism)
-    return rows.coalesce(tasks).mapInArrow(run, "query_id long, vec_id long, score long")
+    return in_batches(rows.coalesce(tasks), run, "query_id long, vec_id long, score long")
