@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEQ_BASE, U, encode, mix64, pieces, shared, split_words, word_hashes
+from .common import SEQ_BASE, U, encode, in_batches, mix64, pieces, shared, split_words, word_hashes
 from .repeats import by_text, ids_repeat, joined_spans, occurrences, with_parts
 
 WINDOW, K = 50, 26
@@ -55,7 +55,7 @@ def _spans(texts: DataFrame, window: int, k: int) -> DataFrame:
             offset = lists.offsets.to_numpy().astype(np.int64)
             lo, hi, first, last = (lists.values.field(i).to_numpy().astype(np.int64) for i in range(4))
             texts = batch.column(2).to_pylist()
-            for rows in pieces(list(range(len(texts))), [len(t or "") for t in texts], 1_000_000):
+            for rows in pieces(list(range(len(texts))), [len(t or "") for t in texts], 250_000):
                 words, base = word_items([texts[i] for i in rows])
                 own = np.arange(offset[rows[0]], offset[rows[-1] + 1])
                 row = np.repeat(np.arange(len(rows)), np.diff(offset)[rows])
@@ -75,7 +75,7 @@ def _spans(texts: DataFrame, window: int, k: int) -> DataFrame:
                 columns = [x.view(np.int64), y.view(np.int64), n.astype(np.int32), d[own_rows], mark[own_rows], at.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return texts.select("d", "mark", "text", "parts").mapInArrow(run, "x long, y long, n int, d long, mark long, at int")
+    return in_batches(texts.select("d", "mark", "text", "parts"), run, "x long, y long, n int, d long, mark long, at int")
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW, k: int = K, repeat: bool = True) -> DataFrame:
@@ -121,4 +121,4 @@ def strip_passages(docs: DataFrame, window: int = WINDOW, k: int = K, kept: bool
             yield pa.RecordBatch.from_arrays(columns + [pa.array(rest, pa.string())] * kept, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * kept)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "parts").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept)
+    return in_batches(joined.select("doc_id", "text", "parts"), run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept)

@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U, encode, mix64, pieces, shared, sliding_hash, sliding_min, starts_within
+from .common import U, encode, in_batches, mix64, pieces, shared, sliding_hash, sliding_min, starts_within
 
 #: Turns the texts of a batch into items, 64-bit hashes, and where each text's begin.
 Items = Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]
 #: Bits of a place among the k-mers that minimizers are sought in at once; the rest of 64 is for the hash. Longer texts take several turns.
 PLACE_BITS = 24
+#: Characters of texts that minimizers are sought in at once, if they are not one text's.
+PIECE = 100_000
 #: Stands for a null doc_id: before all others.
 NULL_ID = -(1 << 63)
 
@@ -80,15 +82,20 @@ def _anchors(docs: DataFrame, items: Items, k: int, window: int, repeat: bool) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, done = batch.column(1).to_pylist(), 0
-            for part in pieces(texts, [len(t or "") for t in texts], 1_000_000):
-                text, place, value, lo, hi = minimizers(*items(part), k, window)
-                ids = batch.column(0).slice(done, len(part)).to_numpy()
-                marks = np.array([text_mark(t) if repeat else 0 for t in part], np.int64)
-                done += len(part)
-                packed = (place << 16) | ((place - lo) << 8) | (hi - lo)
-                yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(ids[text]), pa.array(marks[text]), pa.array(packed)], ["a", "d", "mark", "p"])
-
-    return docs.select(own_id(), "text").mapInArrow(run, "a long, d long, mark long, p long")
+            # small pieces stay in a processor's cache; their rows are given together
+            for some in pieces(texts, [len(t or "") for t in texts], 4_000_000):
+                found: list[list[np.ndarray]] = [[], [], [], []]
+                for part in pieces(some, [len(t or "") for t in some], PIECE):
+                    text, place, value, lo, hi = minimizers(*items(part), k, window)
+                    ids = batch.column(0).slice(done, len(part)).to_numpy()
+                    marks = np.array([text_mark(t) if repeat else 0 for t in part], np.int64)
+                    done += len(part)
+                    packed = (place << 16) | ((place - lo) << 8) | (hi - lo)
+                    for column, x in zip(found, (value.view(np.int64), ids[text], marks[text], packed), strict=True):
+                        column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["a", "d", "mark", "p"])
+
+    return in_batches(docs.select(own_id(), "text"), run, "a long, d long, mark long, p long")
 
 
 def _repeated(docs: DataFrame, items: Items, k: int, window: int, spread: bool, repeat: bool) -> DataFrame:
@@ -115,13 +122,16 @@ def occurrences(docs: DataFrame, items: Items, k: int, window: int, spread: bool
     doc = Window.partitionBy("d", "mark").orderBy("place")
     before = lambda c: F.lag(c).over(doc)
     near = before("hi") + 1 == F.col("lo")
-    edges = found.withColumn("n_before", before("n")).withColumn("edge", F.when(near, F.xxhash64(before("a"), "a", F.col("place") - before("place"))))
-    often = edges.where("edge is not null and n = n_before").groupBy("edge").agg(F.count("*").alias("n_edge"))
-    edges = edges.drop("n_before").join(often, "edge", "left").withColumn("new", F.when(F.col("n_edge") == F.col("n"), 0).otherwise(1))
-    runs = edges.drop("edge", "n_edge", "n").withColumn("run", F.sum("new").over(doc)).groupBy("d", "mark", "run")
+    # an edge that occurs as often as both of its ends can only join two minimizers that occur equally often
+    edge = F.when(near & (before("n") == F.col("n")), F.xxhash64(before("a"), "a", F.col("place") - before("place")))
+    edges = shared(found.withColumn("edge", edge), repeated)
+    often = shared(edges.where("edge is not null").groupBy("edge").agg(F.count("*").alias("n_edge")))
+    joined = edges.where("edge is not null").join(often, "edge").withColumn("new", F.when(F.col("n_edge") == F.col("n"), 0).otherwise(1)).drop("n_edge")
+    runs = joined.unionByName(edges.where("edge is null").withColumn("new", F.lit(1))).drop("edge", "n")
+    runs = runs.withColumn("run", F.sum("new").over(doc)).groupBy("d", "mark", "run")
     low = [F.min("low").alias("low")] if spread else []
     runs = runs.agg(F.min_by("a", "place").alias("path"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("place").alias("first"), F.max("place").alias("last"), *low)
-    return shared(runs.drop("run"), repeated)
+    return shared(runs.drop("run"), edges, often)
 
 
 def by_text(rows: DataFrame, *columns: str) -> DataFrame:
@@ -152,4 +162,4 @@ def marked(docs: DataFrame, repeat: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_mark(t) for t in batch.column(2).to_pylist()], pa.int64())], ["doc_id", "d", "text", "mark"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", own_id(), "text").mapInArrow(run, f"doc_id {kind}, d long, text string, mark long")
+    return in_batches(docs.select("doc_id", own_id(), "text"), run, f"doc_id {kind}, d long, text string, mark long")

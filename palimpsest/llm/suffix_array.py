@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, pieces, shared
+from .common import encode, in_batches, pieces, shared
 from .repeats import by_text, byte_items, ids_repeat, joined_spans, occurrences, with_parts
 
 WINDOW, K = 100, 32
-#: Bytes of stretches in a shard, on average at most.
-SHARD = 2_000_000
+#: Bytes of stretches in a shard, on average at most; shards in a task; shards that one path may fill.
+SHARD, SHARDS, PATH = 250_000, 8, 8
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -85,8 +85,8 @@ def induce(t: np.ndarray, small_: np.ndarray, lms: np.ndarray, size: int) -> np.
     return np.concatenate([x for pair in zip(fronts, backs, strict=True) for x in pair])
 
 
-def _named(t: np.ndarray, small_: np.ndarray, place: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Names of the LMS substrings, by text order: equal ones share a name, and names follow the sorted order."""
+def _named(t: np.ndarray, small_: np.ndarray, place: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the LMS substrings, by text order: equal ones share a name, and names follow the sorted order; and that order, by number."""
     until = np.append(place[1:], len(t) - 1)
     number = np.zeros(len(t), np.int64)
     number[place] = np.arange(len(place))
@@ -104,24 +104,32 @@ def _named(t: np.ndarray, small_: np.ndarray, place: np.ndarray, order: np.ndarr
         step += 1
     names = np.zeros(len(place), np.int64)
     names[own] = np.concatenate([[0], np.cumsum(~same)])
-    return names
+    return names, own
 
 
-def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes of a string of names, to `depth` names, by doubling what is compared."""
-    rank, k = names, 1
+def _doubled(names: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """The order of the suffixes of a string of names, to `depth` names, from that of the names, by doubling what is compared of equals."""
+    n, k = len(names), 1
+    sorted_ = names[order]
+    begin = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    live, order = np.arange(n), order.copy()
+    rank = np.zeros(n, np.int64)
     while True:
-        n = int(rank.max()) + 2
-        after = np.zeros(len(rank), np.int64)
-        after[: max(0, len(rank) - k)] = rank[k:] + 1
-        key = rank * n + after
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-        rank = np.zeros(len(rank), np.int64)
-        rank[order] = np.cumsum(new)
-        k *= 2
-        if k >= depth or new[1:].all():
+        # a rank is the place of a group's first in the order; groups of one are settled
+        start = live[np.flatnonzero(begin)]
+        size = np.diff(np.append(np.flatnonzero(begin), len(live)))
+        rank[order[live]] = np.repeat(start, size)
+        live = live[np.repeat(size > 1, size)]
+        if not len(live) or k >= depth:
             return order
+        own = order[live]
+        after = np.where(own + k < n, rank[np.minimum(own + k, n - 1)] + 1, 0)
+        key = rank[own] * (n + 1) + after
+        by = np.argsort(key, kind="stable")
+        order[live] = own[by]
+        key = key[by]
+        begin = np.concatenate([[True], key[1:] != key[:-1]])
+        k *= 2
 
 
 def suffix_array(t: np.ndarray, size: int, depth: int) -> np.ndarray:
@@ -135,14 +143,14 @@ def suffix_array(t: np.ndarray, size: int, depth: int) -> np.ndarray:
     first = induce(t, small_, place, size)
     is_lms = np.zeros(len(t), bool)
     is_lms[place] = True
-    names = _named(t, small_, place, first[is_lms[first]])
+    names, by_name = _named(t, small_, place, first[is_lms[first]])
     count = int(names.max()) + 1
     if count == len(place):
         order = np.argsort(names)
     elif count <= 2_048:
         order = suffix_array(names.astype(np.int16), count, -(-depth // 2) + 1)
     else:
-        order = _doubled(names, -(-depth // 2) + 1)
+        order = _doubled(names, by_name, -(-depth // 2) + 1)
     return induce(t, small_, place[order], size)
 
 
@@ -227,7 +235,7 @@ def _stretches(texts: DataFrame, window: int, with_bytes: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns] + [pa.array(cut, pa.binary())] * with_bytes, names)
 
     schema = "path long, x long, y long, d long, mark long, lo int, size int" + ", bytes binary" * with_bytes
-    return texts.select("d", "mark", "text", "parts").mapInArrow(run, schema)
+    return in_batches(texts.select("d", "mark", "text", "parts"), run, schema)
 
 
 def _sorted_shards(rows: DataFrame, window: int) -> DataFrame:
@@ -251,7 +259,7 @@ def _sorted_shards(rows: DataFrame, window: int) -> DataFrame:
         if own:
             yield give()
 
-    return rows.select("shard", "d", "mark", "lo", "bytes").mapInArrow(run, "d long, mark long, lo int, s int, e int")
+    return in_batches(rows.select("shard", "d", "mark", "lo", "bytes"), run, "d long, mark long, lo int, s int, e int")
 
 
 def _summed(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -264,7 +272,7 @@ def _summed(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int = SHARD, repeat: bool = True) -> DataFrame:
     """(d, mark, parts): by text, the byte spans (s, e) of windows that also start earlier.
 
-    A path whose differing stretches hold more than `shard` bytes would fill a task however many there are: its stretches
+    A path whose differing stretches hold more than PATH shards would fill a task however many there are: its stretches
     are cut into their windows, which are summed up in the same way as stretches are and need no sorting.
     """
     paths = occurrences(docs, byte_items, k, window, False, repeat)
@@ -275,13 +283,13 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int
     several = first.groupBy("path").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1")
     chosen = first.join(several, "path").select("path", F.col("f.d").alias("d"), F.col("f.mark").alias("mark"), F.col("f.lo").alias("lo"), (F.col("f.lo") + F.col("size") - window).alias("hi"), "bytes")
     chosen = shared(chosen, first)
-    one, many = (chosen.where(c).drop("bytes") for c in (F.col("bytes") <= shard, F.col("bytes") > shard))
+    one, many = (chosen.where(c).drop("bytes") for c in (F.col("bytes") <= PATH * shard, F.col("bytes") > PATH * shard))
     total = one.agg(F.sum(F.col("hi") - F.col("lo") + window)).first()[0] or 0
     shards = max(1, -(-total // shard))
     lists = shared(by_text(one, "path", "lo", "hi"))
     rows = _stretches(with_parts(docs, lists, repeat), window, True)
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(shards)))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard")
+    rows = rows.repartition(-(-shards // SHARDS), "shard").sortWithinPartitions("shard")
     starts = _sorted_shards(rows, window)
     partly = shared(starts.select("d", "mark", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e") - 1 + window).alias("e")), lists)
     lists = by_text(many.select("path", "d", "mark", F.explode(F.sequence("lo", "hi")).alias("lo")).withColumn("hi", F.col("lo")), "path", "lo", "hi")
@@ -326,4 +334,4 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, kept: bool
             yield pa.RecordBatch.from_arrays(columns + [pa.array(rest, pa.binary())] * kept, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * kept)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("doc_id", "text", "parts").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
+    return in_batches(joined.select("doc_id", "text", "parts"), run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
