@@ -79,6 +79,51 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
 
+#: All pairs of texts with a common run of words; groups by following links.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+c AS (SELECT a.doc_id AS p, b.doc_id AS q, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT p, q, common = n AND common = m AS same FROM c WHERE 5 * common >= 4 * (n + m - common)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.q FROM r JOIN l ON l.p = r.b),
+k AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+e AS (SELECT p, count(*) AS n_links, count_if(same)::BIGINT AS copies, min(CASE WHEN same THEN q END) AS copy FROM l GROUP BY p)
+SELECT d.doc_id, class_id, least(d.doc_id, COALESCE(copy, d.doc_id)) AS copy_id, 1 + COALESCE(copies, 0) AS n_copies, COALESCE(n_links, 0) AS n_links
+FROM d JOIN k ON k.a = d.doc_id LEFT JOIN e ON e.p = d.doc_id
+"""
+
+#: Every string of 100 bytes, numbered by where it starts; runs of those that started before are islands.
+OP8_SQL = r"""
+WITH t AS (SELECT doc_id, encode(COALESCE(text, '')) AS x FROM documents),
+g AS (SELECT doc_id, i, md5(x[i : i + 99]) AS k FROM (SELECT doc_id, x, unnest(range(1, octet_length(x) - 98)) AS i FROM t)),
+r AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+s AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY doc_id, island),
+l AS (SELECT doc_id, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, count(*) AS spans, sum(b - a)::BIGINT AS n FROM p GROUP BY doc_id)
+SELECT t.doc_id, octet_length(x) AS n_bytes, COALESCE(n, 0) AS n_removed, COALESCE(spans, 0) AS n_spans,
+  sha256(CASE WHEN n IS NULL THEN x ELSE unhex(array_to_string(list_transform(range(0, spans + 1), lambda j:
+    hex(x[CASE WHEN j = 0 THEN 1 ELSE b[j] END : CASE WHEN j = spans THEN octet_length(x) ELSE a[j + 1] - 1 END])), '')) END) AS kept_sha256
+FROM t LEFT JOIN l ON l.doc_id = t.doc_id
+"""
+
+#: Every run of 50 words, in the same way.
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT doc_id, md5_number(array_to_string(w[i : i + 49], ' ')) AS k, i FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t)),
+f AS (SELECT k, min(doc_id) AS low FROM g GROUP BY k HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g JOIN f USING (k) WHERE doc_id > low),
+s AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM r),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS b FROM s GROUP BY doc_id, island),
+x AS (SELECT doc_id, list(a) AS a, list(b) AS b, sum(b - a + 1)::BIGINT AS n FROM p GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, COALESCE(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda v, j: NOT list_bool_or(list_transform(a, lambda y, q: j >= y AND j <= b[q]))) END, ' ')) AS kept_sha256
+FROM t LEFT JOIN x ON x.doc_id = t.doc_id
+"""
+
+
 OP10_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
@@ -93,4 +138,4 @@ FROM s QUALIFY rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_licenses": licenses.oracle(), "op10_topk": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_licenses": licenses.oracle(), "op5_ngram_join": OP5_SQL, "op8_suffix_array": OP8_SQL, "op9_passages": OP9_SQL, "op10_topk": OP10_SQL}
