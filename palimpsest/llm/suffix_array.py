@@ -281,8 +281,10 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int
     first, again = _summed(seen)
     again = shared(again, seen)
     several = first.groupBy("path").agg(F.count("*").alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1")
+    # written first, so that a path of very many stretches can be split in the join
+    several = shared(several)
     chosen = first.join(several, "path").select("path", F.col("f.d").alias("d"), F.col("f.mark").alias("mark"), F.col("f.lo").alias("lo"), (F.col("f.lo") + F.col("size") - window).alias("hi"), "bytes")
-    chosen = shared(chosen, first)
+    chosen = shared(chosen, first, several)
     one, many = (chosen.where(c).drop("bytes") for c in (F.col("bytes") <= PATH * shard, F.col("bytes") > PATH * shard))
     total = one.agg(F.sum(F.col("hi") - F.col("lo") + window)).first()[0] or 0
     shards = max(1, -(-total // shard))
