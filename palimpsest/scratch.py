@@ -53,11 +53,16 @@ def shared(df: DataFrame, *done: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
-    for table in done:
-        _delete(spark, _PATHS.pop(table))
+    drop(*done)
     return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete intermediate tables that nothing needs any more."""
+    for table in tables:
+        _delete(table.sparkSession, _PATHS.pop(table))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
