@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..scratch import shared  # noqa: F401  the operators' own name for it
+from ..scratch import drop, shared  # noqa: F401  for the operators
 
 #: Words of a text: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -19,13 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round ends in a checkpoint; rounds go on until the edges form stars, however many that takes.
     """
     step = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    last = None
+    last, written = None, []
     while True:
         both = step.select(F.col("a").alias("u"), F.col("b").alias("v")).union(step.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = both.join(_lowest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
         joined = large.join(_lowest(large), "u")
         star = joined.select(F.col("u").alias("a"), F.col("low").alias("b")).union(joined.select(F.col("v").alias("a"), F.col("low").alias("b")))
-        step = shared(star.where("a <> b").distinct())
+        step = shared(star.where("a <> b").distinct(), *written)
+        written = [step]
         mark = step.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last:
             return step.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -81,7 +81,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     docs = docs.withColumn("span", F.coalesce(F.floor(F.col("doc_id") / SPAN), F.lit(-(2**62))))
     spans = docs.groupBy(F.col("span").alias("key")).agg(F.min("doc_id").alias("first"))
-    spans = shared(_next_keys(shared(spans)))
+    keys = shared(spans)
+    spans = shared(_next_keys(keys), keys)
     n = spans.count()
     ends = spans.agg(F.min_by("first", "key").alias("first")).first()
     # a null first is the null id's own; only the highest key has no next

@@ -219,8 +219,8 @@ def _verify(tasks: DataFrame, threshold: float) -> DataFrame:
     return in_batches(tasks.select("one", "two", "chunk", "class", "size", "grams"), run, "class binary, root binary, docs long, classes long")
 
 
-def _placed(member: DataFrame) -> DataFrame:
-    """(class, n, bucket, members) -> (class, chunk).
+def _placed(member: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class, n, bucket, members) -> (class, chunk), and the written table that it is read from.
 
     A class's home is its fullest bucket. A home too large for a chunk is dealt into several. Smaller homes that meet the
     same largest home in a bucket share chunks, each whole in one, so that a large group meets few chunks besides its own.
@@ -230,10 +230,10 @@ def _placed(member: DataFrame) -> DataFrame:
     home = shared(home.join(home.groupBy("home").agg(F.count("*").alias("size"), parts.alias("parts")), "home"))
     largest = member.select("class", "bucket").join(home, "class").groupBy("bucket").agg(F.max(F.struct("size", "home")).alias("largest"))
     host = member.select("class", "bucket").join(largest, "bucket").groupBy("class").agg(F.max("largest").alias("largest")).select("class", F.col("largest.home").alias("host"))
-    home = home.join(host, "class")
+    written, home = home, home.join(host, "class")
     guests = home.where("parts = 1").groupBy("host").agg(parts.alias("guest_parts"))
     own = F.xxhash64("home", F.pmod(F.xxhash64("class"), F.col("parts")))
-    return home.join(guests, "host", "left").select("class", F.when(F.col("parts") > 1, own).otherwise(F.xxhash64("host", F.pmod(F.xxhash64("home"), F.col("guest_parts")), F.lit("guests"))).alias("chunk"))
+    return home.join(guests, "host", "left").select("class", F.when(F.col("parts") > 1, own).otherwise(F.xxhash64("host", F.pmod(F.xxhash64("home"), F.col("guest_parts")), F.lit("guests"))).alias("chunk")), written
 
 
 def _grouped(docs: DataFrame, threshold: float, k: int, recall: float) -> tuple[DataFrame, DataFrame]:
@@ -244,7 +244,8 @@ def _grouped(docs: DataFrame, threshold: float, k: int, recall: float) -> tuple[
     member = classes.select("class", "n", F.explode("bands").alias("bucket"))
     full = member.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     member = shared(member.join(full, "bucket"))
-    placed = shared(_placed(member))
+    placed, home = _placed(member)
+    placed = shared(placed, home)
     meet = member.join(placed, "class").select("bucket", "chunk").distinct()
     pairs = meet.select("bucket", F.col("chunk").alias("one")).join(meet.select("bucket", F.col("chunk").alias("two")), "bucket").where("one <= two").select("one", "two").distinct()
     alone = placed.groupBy("chunk").count().where("count = 1").select(F.col("chunk").alias("one"))
@@ -255,13 +256,13 @@ def _grouped(docs: DataFrame, threshold: float, k: int, recall: float) -> tuple[
     n = candidates.count()
     texts = docs.select("doc_id", "text").join(small(candidates, n), F.col("doc_id").eqNullSafe(F.col("copy_id")))
     tasks = _sets(texts, k).join(small(sides, sides.count()), "chunk").repartition("one", "two").sortWithinPartitions("one", "two")
-    links = shared(_verify(tasks, threshold))
+    links = shared(_verify(tasks, threshold), member, placed, sides, candidates)
     root = components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
     degree = links.groupBy("class").agg(F.sum("docs").alias("docs"))
     info = classes.select("class", "copy_id", "size").join(degree, "class", "left").where("size > 1 or docs is not null")
     info = info.join(root.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     lowest = info.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    info = shared(info.join(lowest, "root").select("class", "root", "class_id", "copy_id", "size", F.coalesce("docs", F.lit(0)).alias("docs")))
+    info = shared(info.join(lowest, "root").select("class", "root", "class_id", "copy_id", "size", F.coalesce("docs", F.lit(0)).alias("docs")), classes, links)
     return sig, info
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_batches, shared
+from .common import drop, in_batches, shared
 
 KINDS = ("assign", "access", "hex")
 #: Fixed formats. The groups before a value take either case; a failing match still uses up its text.
@@ -233,6 +233,7 @@ def _labelled(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
     df = shared(df.where(F.length("value") <= LABEL).distinct())
     lowest = lambda d, h: d.orderBy(h, "kind", "value").limit(sample).collect()
     found = lowest(df.where("kind <> 'word'"), F.xxhash64("kind", "value")) + lowest(df.where("kind = 'word'"), F.col("hash"))
+    drop(df)
     return sorted((r["kind"], r["value"]) for r in found)
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_batches, shared
+from .common import drop, in_batches, shared
 
 #: Queries that one pass over the candidates serves, on average at most; dimensions accumulated between two bounds.
 QUERIES, BLOCK = 8_192, 16
@@ -162,6 +162,7 @@ def search(table: DataFrame, is_query, k: int = 5, id_: str = "vec_id", vector:
         found = _pass(rows, sorted((r["vec_id"], r["embedding"]) for r in own), k)
         found = found if blocks == 1 else shared(found)
         out = found if out is None else out.union(found)
+    drop(stated)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
