@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, language, licenses, mixing, ngram_join, passages, secrets, sentencepiece, suffix_array, topk
+from . import codes, divergence, fingerprints, language, licenses, mixing, ngram_join, packing, passages, secrets, sentencepiece, suffix_array, topk
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +53,20 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 50 == 0)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), carry=F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_secrets, op4_licenses, op5_ngram_join, op6_language, op7_fingerprints, op8_suffix_array, op9_passages, op10_topk)}
+    return {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_secrets, op4_licenses, op5_ngram_join, op6_language, op7_fingerprints, op8_suffix_array, op9_passages, op10_topk, op11_packing, op12_divergence, op13_codes)}
 
 
 OP1_SQL = r"""
@@ -137,5 +150,49 @@ FROM s QUALIFY rank <= 5
 """
 
 
+#: Counts of each kept term in each group, zeros included; all sums in whole numbers.
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source,
+  regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+a AS (SELECT g.lang, g.source, k.term, COALESCE(c.n, 0) AS n FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + 5 * v) AS p FROM a JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang)::HUGEINT + 5 * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM a GROUP BY ALL) JOIN v USING (lang)),
+pair AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, COALESCE(m.value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) m
+  ON m.lang = x.lang AND m.source = x.source AND m.item = y.source),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (p - q)::BIGINT AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """A chain of rounds: e are a codebook's entries by part and index, s the nearest of them."""
+    near = """s{r} AS (SELECT row, vec_id, label, part, x, arg_min(j, (dist, j)) AS j, min(dist)::BIGINT AS dist FROM (
+  SELECT p.*, e.j, list_sum(list_transform(list_zip(p.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM p JOIN e{r} e ON e.part = p.part)
+  GROUP BY row, vec_id, label, part, x)"""
+    mean = """e{n} AS (SELECT e.part, e.j, COALESCE(m.x, e.x) AS x FROM e{r} e LEFT JOIN (
+  SELECT part, j, list(((t - ((t % c) + c) % c) // c)::BIGINT ORDER BY i) AS x
+  FROM (SELECT part, j, i, sum(x[i]) AS t, count(*) AS c FROM (SELECT part, j, x, unnest(range(1, len(x) + 1)) AS i FROM s{r}) GROUP BY part, j, i) GROUP BY part, j) m
+  ON m.part = e.part AND m.j = e.j)"""
+    steps = [x for r in range(rounds) for x in (near.format(r=r), mean.format(r=r, n=r + 1))]
+    return f"""
+WITH w AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (SELECT row, vec_id, label, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS x FROM (SELECT *, unnest(range(0, 4)) AS part FROM w)),
+e0 AS (SELECT part, row - 1 AS j, x FROM p WHERE row <= 256),
+{", ".join([*steps, near.format(r=rounds)])},
+c AS (SELECT row, vec_id, label, string_agg(printf('%02x', j), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM s{rounds} GROUP BY row, vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, j)) AS codebooks_sha256 FROM e{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c, h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op4_licenses": licenses.oracle(), "op5_ngram_join": OP5_SQL, "op8_suffix_array": OP8_SQL, "op9_passages": OP9_SQL, "op10_topk": OP10_SQL}
+    return {"op1_mixing": OP1_SQL, "op4_licenses": licenses.oracle(), "op5_ngram_join": OP5_SQL, "op8_suffix_array": OP8_SQL, "op9_passages": OP9_SQL, "op10_topk": OP10_SQL, "op12_divergence": OP12_SQL, "op13_codes": _codes_sql()}
