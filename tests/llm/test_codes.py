@@ -57,7 +57,7 @@ def test_odd_rows(spark):
     rng = np.random.default_rng(7)
     rows = [(i, [float(v) for v in rng.integers(-3, 4, 6) / 2], i % 2) for i in range(40)]
     rows += [(3, rows[3][1], 1), (3, rows[4][1], None), (None, rows[5][1], 0), (None, rows[6][1], 0)]  # repeated rows and ids, no ids
-    rows += [(50, None, 1), (51, [1.0, None, 1, 1, 1, 1], 1), (52, [float("nan")] * 6, 1), (53, [float("-inf")] * 6, 1), (54, [1.0, 2.0], 1), (55, [], None)]
+    rows += [(50, None, 1), (51, [1.0, None, 1.0, 1.0, 1.0, 1.0], 1), (52, [float("nan")] * 6, 1), (53, [float("-inf")] * 6, 1), (54, [1.0, 2.0], 1), (55, [], None)]
     df = spark.createDataFrame(rows, SCHEMA).select("*", *[F.lit("extra").alias(c) for c in ("x", "code", "error", "label_error", "__label", "entry", "n", "sums")])
     assert got(df) == brute(rows)
     assert codes.compress(df.limit(0)).count() == 0
