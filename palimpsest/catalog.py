@@ -53,10 +53,12 @@ def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
     files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
     key = (sc.applicationId, sf_dir, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
     if key not in _ARCHIVES:
-        path = f"{scratch.folder(spark)}/archive-{uuid.uuid4().hex}"
-        drawers = scratch.shared(docs(spark, sf_dir))
-        index.write_index(drawers, path)
-        _ARCHIVES[key] = drawers, index.read_index(spark, path)
+        path = f"{scratch.lasting(spark)}/{uuid.uuid4().hex}"
+        made = docs(spark, sf_dir)
+        made.write.option("compression", "zstd").parquet(f"{path}/drawers")
+        drawers = spark.read.schema(made.schema).parquet(f"{path}/drawers")
+        index.write_index(drawers, f"{path}/index")
+        _ARCHIVES[key] = drawers, index.read_index(spark, f"{path}/index")
     return _ARCHIVES[key]
 
 

@@ -1,7 +1,9 @@
-"""What the readers share: whole files as rows, JSON coercions, and records in their final shape."""
+"""What the readers share: files listed, whole or in pieces, JSON coercions, and records in their final shape."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,10 @@ from ..functions.text import MILLISECONDS, decoded, keeps, without_bom
 from ..operators.index import completed, threaded, with_identity
 
 
+#: Bytes from which a file is read in pieces, by several tasks.
+LARGE = 32 << 20
+
+
 @dataclass
 class Extracted:
     """Records in the drawer schema, and what could not be read: (source_path, reason)."""
@@ -19,16 +25,55 @@ class Extracted:
     errors: DataFrame
 
 
-def read_files(spark: SparkSession, path: str, condition: Column | None = None) -> DataFrame:
-    """(path, mtime, size, content) of every file below a path, or of one file; text is decoded, a byte-order mark gone.
+def _load(spark: SparkSession, path: str | Sequence[str], format_: str, **options: str) -> DataFrame:
+    """A tree by its root, or files by their names, which may hold what a pattern would read otherwise."""
+    paths = [path] if isinstance(path, str) else [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in path]
+    return spark.read.format(format_).options(recursiveFileLookup="true", **options).load(paths)
+
+
+def _local(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _whole_seconds(time: Column) -> Column:
+    return F.floor(F.unix_micros(time) / 1_000_000).cast("long")
+
+
+def listed(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(path, mtime, size) of every file below a path, or of the files of some names; no content is read."""
+    return _load(spark, path, "binaryFile").select(_local(F.col("path")).alias("path"), _whole_seconds(F.col("modificationTime")).alias("mtime"), F.col("length").alias("size"))
 
-    The condition, on `path`, holds before any content is read.
+
+def read_files(spark: SparkSession, path: str | Sequence[str], condition: Column | None = None, below: int | None = None) -> DataFrame:
+    """(path, mtime, size, content) of those files; text is decoded, a byte-order mark gone.
+
+    The condition, on `path`, holds before any content is read, and files of `below` bytes or more aren't opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    files = _load(spark, path, "binaryFile")
+    if below is not None:
+        files = files.where(F.col("length") < below)
+    files = files.withColumn("path", _local(F.col("path")))
     if condition is not None:
         files = files.where(condition)
-    return files.select("path", F.floor(F.unix_micros("modificationTime") / 1_000_000).cast("long").alias("mtime"), F.col("length").alias("size"), without_bom(decoded(F.col("content"))).alias("content"))
+    return files.select("path", _whole_seconds(F.col("modificationTime")).alias("mtime"), F.col("length").alias("size"), without_bom(decoded(F.col("content"))).alias("content"))
+
+
+def large_files(spark: SparkSession, path: str | Sequence[str], condition: Column, least: int) -> list[str]:
+    """Names of files of `least` bytes or more; each stands for that much content."""
+    return [r["path"] for r in listed(spark, path).where(condition & (F.col("size") >= least)).select("path").collect()]
+
+
+def read_pieces(spark: SparkSession, paths: Sequence[str], separator: str) -> DataFrame:
+    """Files cut at a separator: (path, mtime, size, block, place, value), a task a block of a file and not a file.
+
+    value is bytes; block is where a block of the file begins, and place ascends by one in it.
+    """
+    rows = _load(spark, paths, "text", lineSep=separator)
+    name = F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B"))
+    return rows.select(
+        _local(name).alias("path"), _whole_seconds(F.col("_metadata.file_modification_time")).alias("mtime"), F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("value"),
+    )
 
 
 def kind(v: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import role_map, strip
-from .common import Extracted, finished, flattened, get, kind, read_files, seconds, string
+from ..scratch import shared
+from .common import LARGE, Extracted, finished, flattened, get, kind, large_files, read_files, read_pieces, seconds, string
+from .json_array import SEPARATOR, array_elements
 
 NAME = "claude_ai"
 
@@ -19,6 +23,11 @@ def parse(files: DataFrame) -> Extracted:
     files = files.withColumn("v", F.try_parse_json("content")).select("path", "mtime", "v", kind(F.col("v")).alias("kind"))
     unread = files.where("kind IS NULL OR NOT startswith(kind, 'ARRAY')").select(F.col("path").alias("source_path"), F.when(F.col("kind").isNull(), "invalid JSON").otherwise("expected top-level JSON array").alias("reason"))
     convs = files.where("startswith(kind, 'ARRAY')").select("path", "mtime", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("at", "c"))
+    return _records(convs, unread)
+
+
+def _records(convs: DataFrame, unread: DataFrame) -> Extracted:
+    """Conversations (path, mtime, at, c) to drawers and errors, after those of files that could not be read."""
     c = F.col("c")
     messages = F.coalesce(*[F.when(kind(get(c, k)).startswith("ARRAY"), get(c, k, "array<variant>")) for k in ("chat_messages", "messages")])
     filled = lambda key: F.nullif(string(c, key), F.lit(""))
@@ -41,6 +50,25 @@ def parse(files: DataFrame) -> Extracted:
     return Extracted(finished(records, NAME), unread.union(skipped).union(odd))
 
 
-def extract(spark: SparkSession, path: str, condition: Column | None = None) -> Extracted:
+def parse_pieces(pieces: DataFrame) -> Extracted:
+    """Files cut at closing braces, as `read_pieces` has them, to drawers and errors; a conversation is the most that a task holds.
+
+    What doesn't begin with an array, blanks aside, is `expected top-level JSON array`, and what breaks off or holds a bad conversation `invalid JSON`.
+    """
+    elements, bad = array_elements(pieces)
+    elements = shared(elements.withColumn("c", F.try_parse_json("text")))
+    broken = elements.where("c IS NULL").select("path").distinct().withColumn("reason", F.lit("invalid JSON"))
+    bad = shared(bad.unionByName(broken.join(bad, "path", "left_anti")))
+    unread = bad.select(F.col("path").alias("source_path"), "reason")
+    return _records(elements.join(F.broadcast(bad), "path", "left_anti"), unread)  # a row a large file
+
+
+def extract(spark: SparkSession, path: str | Sequence[str], condition: Column | None = None, large: int = LARGE) -> Extracted:
+    """Of every export below a path, or of files by their names; those of `large` bytes or more are read in blocks, by as many tasks."""
     own = handles(F.col("path"))
-    return parse(read_files(spark, path, own if condition is None else own & condition))
+    own = own if condition is None else own & condition
+    found, cut = parse(read_files(spark, path, own, large)), large_files(spark, path, own, large)
+    if not cut:
+        return found
+    more = parse_pieces(read_pieces(spark, cut, SEPARATOR))
+    return Extracted(found.drawers.unionByName(more.drawers), found.errors.unionByName(more.errors))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,6 @@ def parse(files: DataFrame, root: str | None = None, whole: int = WHOLE, size: i
     return Extracted(completed(with_identity(records)), files.select(path.alias("source_path"), F.lit("").alias("reason")).limit(0))
 
 
-def extract(spark: SparkSession, path: str, condition: Column | None = None, root: str | None = None, **sizes: int) -> Extracted:
+def extract(spark: SparkSession, path: str | Sequence[str], condition: Column | None = None, root: str | None = None, **sizes: int) -> Extracted:
     own = handles(F.col("path"))
     return parse(read_files(spark, path, own if condition is None else own & condition), root, **sizes)

@@ -2,70 +2,141 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .commits import Fenced, Files, Lease, Locked, Log  # noqa: F401  for callers
 from .operators import index, ops
 from .operators.extraction import Runner
 from .plans.bm25 import Index
 from .plans.search import Searcher
-from .scratch import shared
+from .scratch import drop, shared
 from .sources import HANDLES, reader
-from .sources.common import Extracted
+from .sources.common import Extracted, listed
 from .sources.files import glob_condition, relative
 
 
-class Locked(RuntimeError):
-    """Another writer has the store."""
+def _batches(rows: Iterable[Row], size: int) -> Iterator[list[Row]]:
+    rows = iter(rows)
+    while batch := list(islice(rows, size)):
+        yield batch
 
 
 class Store:
-    """Tables live in `<path>/<table>/v<n>`; the highest finished version counts, so a reader never sees half a write.
+    """Tables under one path. A table is the folders `<path>/<table>/v<n>` that the log's highest manifest names, so a reader
+    sees a commit whole or not at all, also one of several tables (`transaction`).
 
     The index lies in `index/v<n>` in parts, one for each run that added drawers until `reindex` makes one of all; a part
-    counts when its drawers are stored. A lock that is older than `stale` seconds is taken to be left by a driver that died.
+    counts when its drawers are stored. One writer at a time holds a lease, which lasts while its driver lives; a writer that was
+    quiet for `stale` seconds can lose it, and can't commit then (`Fenced`).
     """
 
-    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time, stale: float = 86_400):
-        self.spark, self.path, self.clock, self.stale = spark, path.rstrip("/"), clock, stale
+    #: Folders of a table, at most; one more append makes one of all.
+    PARTS = 64
+    #: Files that one commit of an index run reads.
+    BATCH = 20_000
 
-    # ---- files, through Hadoop, so that any store of files will do ----
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time, stale: float = 60):
+        self.spark, self.path, self.clock, self.stale = spark, path.rstrip("/"), clock, stale
+        self.files = Files(spark, self.path)
+        self.log = Log(self.files, f"{self.path}/_log")
+        self._own = threading.local()
 
     def _file(self, path: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return self.files.path(path)
 
     @property
     def _fs(self):
-        return self._file(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self.files.fs
+
+    def _manifest(self) -> tuple[int, dict]:
+        """The highest manifest: each table's folders, oldest first, those it had before its last replacement, and what was noted. A store without a log has the highest finished folder of each."""
+        n, found = self.log.latest()
+        if found is None:
+            versions = {name: self._finished(name) for name in schemas.TABLES}
+            found = {"tables": {name: [v] for name, v in versions.items() if v}, "old": {}, "noted": {}}
+        return n, found
+
+    def _finished(self, name: str) -> int:
+        folder = f"{self.path}/{name}"
+        return max([int(n[1:]) for n in self.files.names(folder) if n[1:].isdigit() and self.files.exists(f"{folder}/{n}/_SUCCESS")], default=0)
+
+    def _folders(self, name: str) -> list[int]:
+        """A table's folders; within a transaction, with what it has written."""
+        staged = getattr(self._own, "staged", None)
+        return (staged or self._manifest()[1])["tables"].get(name, [])
 
     def _version(self, name: str) -> int:
-        folder = self._file(f"{self.path}/{name}")
-        if not self._fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
-        return max([int(n[1:]) for n in names if n[1:].isdigit() and self._fs.exists(self._file(f"{self.path}/{name}/{n}/_SUCCESS"))], default=0)
+        return max(self._folders(name), default=0)
 
     @contextmanager
     def writing(self, wait: float = 0) -> Iterator[None]:
-        """Hold the store's lock; Locked if another writer does for all of `wait` seconds."""
-        lock, until = self._file(f"{self.path}/_lock"), time.monotonic() + wait
-        while not self._fs.createNewFile(lock):
-            if self._fs.exists(lock) and time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000 >= self.stale:
-                self._fs.delete(lock, False)
-            elif time.monotonic() >= until:
-                raise Locked(self.path)
-            else:
-                time.sleep(min(1, max(0, until - time.monotonic())))
+        """Hold the store's lease; Locked if another writer does for all of `wait` seconds."""
+        lease = Lease(self.files, f"{self.path}/_lock", self.stale)
+        lease.acquire(wait)
         try:
+            n, manifest = self._manifest()
+            self.log.put(n, manifest | {"writer": lease.name})
+            self._own.base = n + 1
             yield
         finally:
-            self._fs.delete(lock, False)
+            self._own.base = None
+            lease.release()
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """What is written within can be seen by others when it ends, all at once, and never if it fails. One within another is part of that."""
+        if getattr(self._own, "staged", None) is not None:
+            yield
+            return
+        n, manifest = self._manifest()
+        base = getattr(self._own, "base", None)
+        if base not in (None, n):
+            raise Fenced(f"{self.path} has another writer")
+        own = self._own
+        own.staged, own.after, own.changes, own.fresh = json.loads(json.dumps(manifest)), [], [], {}
+        try:
+            yield
+            own.staged["at"] = int(time.time())
+            while True:
+                try:
+                    self.log.put(n, own.staged)
+                    break
+                except Fenced:
+                    if base is not None:
+                        raise
+                    # without a lease, what others committed meanwhile comes first
+                    n, own.staged = self._manifest()
+                    for change in own.changes:
+                        change(own.staged)
+            if base is not None:
+                own.base = n + 1
+            after = own.after
+        finally:
+            own.staged = None
+        for what in after:
+            what()
+
+    def _change(self, change: Callable[[dict], None]) -> None:
+        self._own.changes.append(change)
+        change(self._own.staged)
+
+    def _reserve(self, name: str) -> int:
+        """A folder that no other writer has or had."""
+        taken = [int(x) for x in (f.lstrip("_")[1:] for f in self.files.names(f"{self.path}/{name}")) if x.isdigit()]
+        n = max(taken, default=0) + 1
+        while not self.files.new(f"{self.path}/{name}/_v{n}"):
+            n += 1
+        return n
 
     # ---- tables ----
 
@@ -101,21 +172,39 @@ class Store:
             self.replace("schema_version", self.spark.createDataFrame([(schemas.VERSION, int(self.clock()), "baseline", "applied")], schemas.SCHEMA_VERSION))
 
     def read(self, name: str) -> DataFrame:
-        n = self._version(name)
-        if not n:
-            return schemas.empty(self.spark, name)
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.path}/{name}/v{n}")
+        folders = [f"{self.path}/{name}/v{n}" for n in self._folders(name)]
+        return self.spark.read.schema(schemas.TABLES[name]).parquet(*folders) if folders else schemas.empty(self.spark, name)
+
+    def _write(self, name: str, rows: DataFrame) -> int:
+        n = self._reserve(name)
+        rows.select(*schemas.TABLES[name].names).write.mode("overwrite").parquet(f"{self.path}/{name}/v{n}")
+        self._own.fresh.setdefault(name, []).append(n)
+        return n
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """A new version; the one before stays until the next, for readers that still have it."""
-        n = self._version(name)
-        rows.select(*schemas.TABLES[name].names).write.mode("overwrite").parquet(f"{self.path}/{name}/v{n + 1}")
-        if n > 1:
-            self._fs.delete(self._file(f"{self.path}/{name}/v{n - 1}"), True)
+        with self.transaction():
+            own, gone = {int(x) for x in self._own.fresh.get(name, ())}, []
+            n = self._write(name, rows)
+
+            def change(manifest: dict) -> None:
+                before = manifest["tables"].get(name, [])
+                if set(before) & own:  # nobody has seen what this transaction wrote
+                    gone[:] = before
+                else:
+                    gone[:], manifest["old"][name] = manifest["old"].get(name, []), before
+                manifest["tables"][name] = [n]
+
+            self._change(change)
+            self._own.after.append(lambda: [self.files.delete(f"{self.path}/{name}/v{v}") for v in gone])
 
     def append(self, name: str, rows: DataFrame) -> None:
-        n = max(1, self._version(name))
-        rows.select(*schemas.TABLES[name].names).write.mode("append").parquet(f"{self.path}/{name}/v{n}")
+        with self.transaction():
+            if len(self._folders(name)) >= self.PARTS:
+                self.replace(name, self.read(name).unionByName(rows.select(*schemas.TABLES[name].names)))
+            else:
+                n = self._write(name, rows)
+                self._change(lambda manifest: manifest["tables"].update({name: [*manifest["tables"].get(name, []), n]}))
 
     # ---- ingest ----
 
@@ -134,43 +223,45 @@ class Store:
             new = index.completed(new, True)
         new = shared(new)
         count = new.count()
-        if count:
-            if enqueue:
-                waiting = new.select("drawer_uid", F.lit(int(self.clock())).cast("long").alias("enqueued_at"), F.lit(None).cast("string").alias("prompt_template"), F.lit(None).cast("string").alias("prompt_version"))
-                self.append("extract_pending", waiting.join(self.read("extract_pending"), "drawer_uid", "left_anti"))
-            part = f"{self.path}/index/v{max(1, self._version('index'))}/{uuid.uuid4().hex}"
-            index.write_index(new, part)
-            # after it, what is new is stored, and nothing would be new any more
-            self.append("drawers", new)
-            self._mark(f"{part}/_DONE")
-            self._mark(f"{part.rpartition('/')[0]}/_SUCCESS")
-        noted = f"{self.path}/_noted/{uuid.uuid5(uuid.NAMESPACE_URL, once or '').hex}"
-        if not once or not self._fs.exists(self._file(noted)):
-            self.append("ingest_errors", index.error_rows(found.errors.select(F.lit(source).alias("source"), "source_path", "reason"), int(self.clock())))
-            if once:
-                self._mark(noted)
+        with self.transaction():
+            if count:
+                if enqueue:
+                    waiting = new.select("drawer_uid", F.lit(int(self.clock())).cast("long").alias("enqueued_at"), F.lit(None).cast("string").alias("prompt_template"), F.lit(None).cast("string").alias("prompt_version"))
+                    self.append("extract_pending", waiting.join(self.read("extract_pending"), "drawer_uid", "left_anti"))
+                part = f"{self.path}/index/v{max(1, self._finished('index'))}/{uuid.uuid4().hex}"
+                index.write_index(new, part)
+                self.append("drawers", new)
+                self._own.after += [lambda: self.files.mark(f"{part}/_DONE"), lambda: self.files.mark(f"{part.rpartition('/')[0]}/_SUCCESS")]
+            what, _, mark = (once or "").rpartition("#")
+            if not once or self._own.staged["noted"].get(what) != mark:
+                errors = shared(index.error_rows(found.errors.select(F.lit(source).alias("source"), "source_path", "reason"), int(self.clock())))
+                if errors.limit(1).count():
+                    self.append("ingest_errors", errors)
+                drop(errors)
+                if once:
+                    self._change(lambda manifest: manifest["noted"].update({what: mark}))
         return count, shared(new.groupBy("source_path").agg(F.count("*").alias("n")), new)
 
-    def _mark(self, path: str) -> None:
-        self._fs.create(self._file(path), True).close()
-
     def index_source(self, source: dict, quick: bool = False, **options) -> int:
-        """Read one configured source. With quick, only files that are new or changed since the last run."""
+        """Read one configured source. With quick, only files that are new or changed since the last run.
+
+        Files are listed without their content; those to read are then read by name, in batches of BATCH, in the order of their paths.
+        A batch's drawers, errors and state are one commit, so a run that fails goes on where it was.
+        """
         path, read = source["path"], reader(source["type"])
-        condition = glob_condition(F.col("path"), relative(F.col("path"), path), source.get("include") or (), source.get("exclude") or ())
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        files = files.select(F.lit(source["name"]).alias("source"), F.regexp_replace("path", "^file:/+", "/").alias("source_path"), F.floor(F.unix_micros("modificationTime") / 1_000_000).cast("long").alias("mtime"), F.col("length").alias("size"))
+        files = listed(self.spark, path).select(F.lit(source["name"]).alias("source"), F.col("path").alias("source_path"), "mtime", "size")
         files = files.where(HANDLES[source["type"]](F.col("source_path")) & glob_condition(F.col("source_path"), relative(F.col("source_path"), path), source.get("include") or (), source.get("exclude") or ()))
-        state = self.read("index_state")
         if quick:
-            files = index.needs_index(files, state)
-        found = read(self.spark, path, condition)
-        if quick:
-            stale = files.select("source_path")
-            found = Extracted(found.drawers.join(stale, "source_path", "left_semi"), found.errors.join(stale, "source_path", "left_semi"))
-        count, own = self._add(found, source["name"], **options)
-        seen = files.join(own, "source_path", "left").select("source", "source_path", F.col("mtime").alias("last_indexed_mtime"), F.col("size").alias("last_indexed_size"), F.coalesce("n", F.lit(0)).alias("drawer_count"))
-        self.replace("index_state", index.updated_state(state, seen))
+            files = index.needs_index(files, self.read("index_state"))
+        count = 0
+        for batch in _batches(files.orderBy("source_path").toLocalIterator(), self.BATCH):
+            seen = self.spark.createDataFrame(batch, files.schema)
+            with self.transaction():
+                n, own = self._add(read(self.spark, [r["source_path"] for r in batch]), source["name"], **options)
+                seen = seen.join(own, "source_path", "left").select("source", "source_path", F.col("mtime").alias("last_indexed_mtime"), F.col("size").alias("last_indexed_size"), F.coalesce("n", F.lit(0)).alias("drawer_count"))
+                self.replace("index_state", index.updated_state(self.read("index_state"), seen))
+            drop(own)
+            count += n
         return count
 
     def index_all(self, sources: list[dict], quick: bool = False, **options) -> dict[str, int | str]:
@@ -190,7 +281,7 @@ class Store:
 
     def index(self) -> Index:
         """The stored index; drawers that it doesn't hold yet are indexed as they are used."""
-        drawers, folder = self.read("drawers"), self._file(f"{self.path}/index/v{self._version('index')}")
+        drawers, folder = self.read("drawers"), self._file(f"{self.path}/index/v{self._finished('index')}")
         parts = [s.getPath().toString() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
         parts = [p for p in parts if self._fs.exists(self._file(f"{p}/_DONE"))]
         if not parts:
@@ -204,11 +295,11 @@ class Store:
     def reindex(self, parts: int | None = None) -> None:
         """Make one part of the whole index; the version before stays until the next, for readers that still have it."""
         with self.writing():
-            n = self._version("index")
+            n = self._finished("index")
             part = f"{self.path}/index/v{n + 1}/all"
             index.write_index(self.read("drawers"), part, parts)
-            self._mark(f"{part}/_DONE")
-            self._mark(f"{self.path}/index/v{n + 1}/_SUCCESS")
+            self.files.mark(f"{part}/_DONE")
+            self.files.mark(f"{self.path}/index/v{n + 1}/_SUCCESS")
             if n > 1:
                 self._fs.delete(self._file(f"{self.path}/index/v{n - 1}"), True)
 
@@ -241,7 +332,7 @@ class Store:
         """
         bad = self.check()
         other = Store(self.spark, path) if path else None
-        with self.writing():
+        with self.writing(), self.transaction():
             for name in bad:
                 self.replace(name, other.read(name) if other and other._version(name) else schemas.empty(self.spark, name))
             if "drawers" in bad:
