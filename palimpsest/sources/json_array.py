@@ -141,16 +141,16 @@ def array_elements(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     joined = numbered.where(edge).groupBy("path", "at").agg(F.max("mtime").alias("mtime"), F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias("text"))
     every = joined.select("path", "mtime", "at", "text").unionByName(numbered.where(~edge).select("path", "mtime", "at", "text"))
     every = every.join(F.broadcast(files.select("path", "cuts", "bytes", "size")), "path")
-    # reading a file that doesn't end with a separator adds one
-    stray = (F.col("at") == F.col("cuts")) & (F.col("bytes") > F.col("size"))
+    # reading a file that doesn't end with a separator adds one; a byte-order mark's 3 bytes are skipped
+    added = F.col("bytes").isin([F.col("size") + 1, F.col("size") - 2])
+    stray = (F.col("at") == F.col("cuts")) & added
     text = F.col("text").cast("string")
     text = F.when(F.col("at") == 0, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
     text = F.when(stray, F.regexp_replace(text, SEPARATOR + "$", "")).otherwise(text)
     every = shared(every.select("path", "mtime", "at", "cuts", F.regexp_replace(text, r"^[\t\n\r ]+|[\t\n\r ]+$", "").alias("text")))
 
     outer = every.where("at = 0 OR at = cuts").groupBy("path").agg(F.max(F.when(F.col("at") == 0, F.col("text"))).alias("head"), F.max(F.when((F.col("at") == F.col("cuts")) & (F.col("at") > 0), F.col("text"))).alias("tail"))
-    stray_step = F.when(F.col("bytes") > F.col("size"), 1).otherwise(0)  # of the separator that was added
-    whole = (F.col("quotes") % 2 == 0) & (F.col("delta") + stray_step == 0) & (F.col("opens") == 1) & (F.col("closes") == 1) & (F.col("tail") == "")
+    whole = (F.col("quotes") % 2 == 0) & (F.col("delta") + F.when(added, 1).otherwise(0) == 0) & (F.col("opens") == 1) & (F.col("closes") == 1) & (F.col("tail") == "")
     bad = files.join(outer, "path", "left").select("path", F.when(F.coalesce(F.col("head"), F.lit("")) != "", "expected top-level JSON array").when(~F.coalesce(whole, F.lit(False)), "invalid JSON").alias("reason")).where("reason IS NOT NULL")
     inner = every.where("at > 0 AND at < cuts")
     return inner.where("cuts > 2 OR text <> ''").select("path", "mtime", "at", "text"), bad

@@ -134,7 +134,7 @@ class Store:
         """A folder that no other writer has or had."""
         taken = [int(x) for x in (f.lstrip("_")[1:] for f in self.files.names(f"{self.path}/{name}")) if x.isdigit()]
         n = max(taken, default=0) + 1
-        while not self.files.new(f"{self.path}/{name}/_v{n}"):
+        while not self.files.put(f"{self.path}/{name}/_v{n}"):
             n += 1
         return n
 

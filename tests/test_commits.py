@@ -37,7 +37,7 @@ def test_put_is_for_one(spark, tmp_path):
     assert [str(i) for ok, i in won if ok] == [files.read(f"{tmp_path}/log/1.json")]
     assert [n for n in files.names(f"{tmp_path}/log") if "aside" in n and not n.startswith(".")] == []
     assert files.read(f"{tmp_path}/none") is None and files.age(f"{tmp_path}/none") is None
-    assert files.new(f"{tmp_path}/x", "a") and not files.new(f"{tmp_path}/x", "b") and files.read(f"{tmp_path}/x") == "a"
+    assert files.put(f"{tmp_path}/x", "a") and not files.put(f"{tmp_path}/x", "b") and files.read(f"{tmp_path}/x") == "a"
 
 
 def test_log_keeps_some(spark, tmp_path):
