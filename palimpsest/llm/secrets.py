@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from labelled credentials.
 
 The patterns give the base spans. Their values, a bounded sample, are the labels: for each kind a prefix tree of
-character classes is built, and its states are merged while their futures are statistically compatible. Every other
-token that could be a credential is then scored by how likely its format is under the automata, against a model of
-ordinary words.
+character classes is built, and its states are merged while their futures are statistically compatible. A state also has the
+characters that it met, and an automaton the lengths of its labels. Every other token that could be a credential is then scored by
+how likely its format is under the automata, against a model of ordinary words and against random characters of the token's own
+classes, as in UUIDs, digests and encoded bytes. An automaton of one state has no format to go by and scores nothing.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 WORD = re.compile(r"[A-Za-z]{3,}[.,;:!?]?")
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
-#: Labelled values that the automata are fitted on, at most; the test of two states' futures; the least mean gain per
-#: character, in nats, of a candidate over ordinary words, the least length; what is added to counts of letter pairs.
-SAMPLE, ALPHA, GAIN, LENGTH, SMOOTH = 4_000, 0.05, 0.75, 16, 0.05
+#: Labelled values that the automata are fitted on, at most; the test of two states' futures; the least gain, in nats, of a
+#: candidate over what is ordinary, as a whole and per character; the least length; what is added to counts of letter pairs.
+SAMPLE, ALPHA, GAIN, EACH, LENGTH, SMOOTH = 4_000, 0.05, 8.0, 0.2, 16, 0.05
 #: Characters of a labelled value, at most; longer ones are found and masked like others, but not fitted on.
 LABEL = 200
 
@@ -56,15 +57,21 @@ class Automaton:
     def __init__(self, samples: list[str], alpha: float = ALPHA):
         self.next: list[dict[str, int]] = [{}]
         self.seen: list[dict[str, int]] = [defaultdict(int)]
+        self.met: list[dict[str, int]] = [defaultdict(int)]
+        self.lengths: dict[int, int] = defaultdict(int)
         for s in samples:
             at = 0
-            for c in [*(CLASSES[x] for x in s), ""]:
+            self.lengths[len(s)] += 1
+            for x in [*s, ""]:
+                c = CLASSES.get(x, "")
                 self.seen[at][c] += 1
                 if c:
+                    self.met[at][x] += 1
                     if c not in self.next[at]:
                         self.next[at][c] = len(self.next)
                         self.next.append({})
                         self.seen.append(defaultdict(int))
+                        self.met.append(defaultdict(int))
                     at = self.next[at][c]
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         kept, fringe = [0], [(0, c) for c in sorted(self.next[0])]
@@ -73,7 +80,8 @@ class Automaton:
             state = self.next[parent][c]
             if state in kept:
                 continue
-            same = next((k for k in kept if self._compatible(k, state)), None)
+            # a state that few labels reach is compatible with nearly all; it goes to where its characters are likeliest
+            same = max((k for k in kept if self._compatible(k, state)), key=lambda k: (self._likely(k, state), -k), default=None)
             if same is None:
                 kept.append(state)
                 fringe += [(state, x) for x in sorted(self.next[state])]
@@ -90,6 +98,11 @@ class Automaton:
         most = self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
         return any(abs(self.seen[a].get(c, 0) / n - self.seen[b].get(c, 0) / m) > most for c in {*self.seen[a], *self.seen[b]})
 
+    def _likely(self, a: int, b: int) -> float:
+        """Log-likelihood of what b met under what a met."""
+        n = sum(self.met[a].values())
+        return sum(k * math.log((self.met[a].get(x, 0) + SMOOTH) / (n + SMOOTH * len(CLASSES))) for x, k in self.met[b].items())
+
     def _compatible(self, a: int, b: int) -> bool:
         todo, met = [(a, b)], set()
         while todo:
@@ -112,28 +125,44 @@ class Automaton:
                 continue
             for c, n in self.seen[b].items():
                 self.seen[a][c] += n
+            for x, n in self.met[b].items():
+                self.met[a][x] += n
             for c, y in self.next[b].items():
                 if c in self.next[a]:
                     todo.append((self.next[a][c], y))
                 else:
                     self.next[a][c] = y
 
-    def table(self) -> dict[int, dict[str, tuple[float, int]]]:
-        """By state and class: log-probability of each character of it, and the next state; "" ends."""
-        out = {}
+    def table(self) -> dict:
+        """By state: by class the log-probability of a character of it that wasn't met and the next state, by "=" and a character what that one has; by "length" those of lengths."""
+        out: dict = {}
         for s in self.kept:
-            n = sum(self.seen[s].values())
-            out[s] = {c: (math.log((k + 0.1) / (n + 0.1 * (len(WIDTH) + 1)) / WIDTH.get(c, 1)), self.next[s].get(c, 0)) for c, k in self.seen[s].items()}
-            out[s]["?"] = (math.log(0.1 / (n + 0.1 * (len(WIDTH) + 1)) / 26), 0)
+            # where a token ends is left to its length, as a state that is met again and again can't know
+            n = sum(k for c, k in self.seen[s].items() if c)
+            share = {c: (k + 0.1) / (n + 0.1 * (len(WIDTH) + 1)) for c, k in self.seen[s].items() if c}
+            out[s] = {"?": (math.log(0.1 / (n + 0.1 * (len(WIDTH) + 1)) / 26), 0)}
+            for c, p in share.items():  # as if the class's characters had been met once between them
+                out[s][c] = (math.log(p / WIDTH[c] / (self.seen[s][c] + 1)), self.next[s].get(c, 0))
+            for x, k in self.met[s].items():
+                c = CLASSES[x]
+                out[s]["=" + x] = (math.log(share[c] * (k + 1 / WIDTH[c]) / (self.seen[s][c] + 1)), self.next[s].get(c, 0))
+        total = sum(self.lengths.values())
+        out["length"] = {n: math.log((k + 0.1) / (total + 1)) for n, k in self.lengths.items()} | {None: math.log(0.1 / (total + 1) / LABEL)}
         return out
 
 
-def likelihood(table: dict[int, dict[str, tuple[float, int]]], token: str) -> float:
+def likelihood(table: dict, token: str) -> float:
     at = total = 0
-    for c in token:
-        p, at = table[at].get(CLASSES[c], table[at]["?"])
+    for x in token:
+        here = table[at]
+        p, at = here.get("=" + x) or here.get(CLASSES[x]) or here["?"]
         total += p
-    return total + table[at].get("", table[at]["?"])[0]
+    return total + table["length"].get(len(token), table["length"][None])
+
+
+def random_characters(token: str) -> float:
+    """Log-probability of a token as so many characters drawn from its own classes."""
+    return -len(token) * math.log(sum(WIDTH[c] for c in {CLASSES[x] for x in token}))
 
 
 def ordinary(words: list[str]) -> dict[str, float]:
@@ -249,7 +278,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict, dict]:
 
 
 def learned_spans(text: str, base: list[tuple[int, int, str, int]], model: tuple[dict, dict]) -> list[tuple[int, int, str, int]]:
-    """Tokens that no base span touches, with a digit and a letter, whose format an automaton explains better than words do."""
+    """Tokens that no base span touches, with a digit and a letter, whose format an automaton explains better than words or chance do."""
     automata, words = model
     out = []
     for m in TOKEN.finditer(text):
@@ -258,9 +287,9 @@ def learned_spans(text: str, base: list[tuple[int, int, str, int]], model: tuple
         b = a + len(token)
         if len(token) < LENGTH or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token) or any(x[0] < b and a < x[3] for x in base):
             continue
-        ground = plain(words, token)
-        gain, kind = max((likelihood(t, token) - ground, k) for k, t in automata.items())
-        if gain >= GAIN * len(token):
+        ground = max(plain(words, token), random_characters(token))
+        gain, kind = max(((likelihood(t, token) - ground, k) for k, t in automata.items() if len(t) > 2), default=(-math.inf, ""))
+        if gain >= max(GAIN, EACH * len(token)):
             out.append((a, 3, f"like_{kind}", b))
     return out
 

@@ -1,7 +1,11 @@
 """Language ID, secrets, licences and mixing: what their models must do beyond the operators' tests."""
 
+import base64
+import hashlib
 import math
 import random
+import string
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -10,6 +14,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import language, licenses, mixing, secrets
 
+from ..conftest import SF
+
 
 def grams(text):
     found, at = language._grams([text], language.ORDERS, language.BITS)
@@ -99,3 +105,33 @@ def test_other_scripts_are_rejected(spark):
     rows += [(1000, " ".join(word("абвгдежз") for _ in range(100)), None), (1001, "漢字仮名交文 " * 50, None), (1002, None, None), (1003, "12 34", None)]
     kept = {r["doc_id"] for r in language.accept(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert kept == set(range(200))
+
+
+def ordinary_tokens(rng, words):
+    """Six and more kinds of long tokens that are no secrets, by kind."""
+    raw = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    letters = string.ascii_letters + string.digits
+    return {
+        "uuid": lambda: str(uuid.UUID(bytes=raw(16))), "digest": lambda: hashlib.sha1(raw(9)).hexdigest()[: rng.choice([16, 20, 23])].upper(), "base64": lambda: base64.b64encode(raw(rng.randint(12, 40))).decode(),
+        "url": lambda: base64.urlsafe_b64encode(raw(rng.randint(12, 40))).decode().rstrip("="), "time": lambda: f"20{rng.randrange(10, 30)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}T{rng.randrange(10, 24)}.{rng.randrange(10, 60)}Z",
+        "camel": lambda: "".join(w.capitalize() for w in rng.choices(words, k=3)) + str(rng.randrange(1000)), "path": lambda: "/".join(rng.choices(words, k=4)) + str(rng.randrange(100)),
+        "snake": lambda: "_".join(rng.choices(words, k=4)) + f"_v{rng.randrange(100)}", "number": lambda: "id-" + "".join(rng.choices(string.digits, k=24)), "chance": lambda: "".join(rng.choices(letters, k=rng.choice([32, 39, 40]))),
+    }
+
+
+def test_ordinary_tokens_are_no_secrets(spark, tmp_path):
+    """Fitted as a scan fits, on the smallest table: each kind of credential that wasn't fitted on is found, and no kind of ordinary token."""
+    rng = random.Random(6)
+    model = secrets.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgk", k=rng.randint(3, 10))) for _ in range(400)]
+    found = lambda s: bool(secrets.learned_spans(f"see {s} here", [], model))
+    for kind, made in secrets.format_samples(500).items():
+        assert sum(map(found, made[200:])) >= 0.9 * 300, kind
+    wrong = {kind: sum(found(make()) for _ in range(300)) for kind, make in ordinary_tokens(rng, words).items()}
+    assert max(wrong.values()) <= 0.01 * 300, wrong
+
+
+def test_one_state_has_no_format():
+    rng = random.Random(1)
+    table = secrets.Automaton(["".join(rng.choices("0123456789abcdef", k=rng.randint(20, 50))) for _ in range(300)]).table()
+    assert len(table) == 2 and not secrets.learned_spans("x 1234567890abcdef1234567890abcdefAA y", [], ({"hex": table}, {}))
