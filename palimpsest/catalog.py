@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .functions import risk, text
-from .operators import evaluate, extraction, graph, index, ops
+from .operators import dictionary, evaluate, extraction, graph, index, ops
 from .operators.rerank import rerank
 from .plans.bm25 import Index, top_per_query
 from .plans.match import Both, Either, Near, Phrase, Without, parse
@@ -493,6 +493,18 @@ def link_seeds(spark, sf_dir):
     return graph.link(stored(spark, sf_dir), SEEDS)
 
 
+@query(
+    f"""WITH {DOCS}, s AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{7,}}')) AS name FROM benchmark),
+    w AS (SELECT DISTINCT drawer_uid, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+')) AS name FROM docs)
+    SELECT drawer_uid, name, 'term' AS type FROM w JOIN s USING (name)"""
+)
+def link_dictionary(spark, sf_dir):
+    """Every word of seven letters or more of the benchmark as a seed."""
+    names = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0)))
+    seeds = table(spark, sf_dir, "benchmark").select(names.alias("name")).distinct().select("name", F.lit("term").alias("type"), F.lit(None).cast("array<string>").alias("aliases"))
+    return graph.link_all(stored(spark, sf_dir), seeds)
+
+
 @query(
     """WITH o AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS name, CASE WHEN c_nationkey % 2 = 0 THEN 'project' ELSE 'concept' END AS type, c_custkey AS seen FROM customer)
     SELECT row_number() OVER (ORDER BY min(seen), arg_min(name, seen), type)::BIGINT AS id, arg_min(name, seen) AS name, type, min(seen) AS first_seen, max(seen) AS last_seen FROM o GROUP BY lower(name), type"""
@@ -691,12 +703,18 @@ def precision_recall_mrr(spark, sf_dir):
     return found.select("n_queries", *[F.round(c, 9).alias(c) for c in ("precision_at_k", "recall_at_k", "mrr")])
 
 
-@query("SELECT 50::BIGINT AS n_queries, 0.1::DOUBLE AS precision_at_k, 1.0::DOUBLE AS recall_at_k, 1.0::DOUBLE AS mrr")
+@query(
+    f"""WITH {BATCH_HITS}, i AS (SELECT item_id AS qid, ' ' || array_to_string(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{Mn}}]+'), ' ') || ' ' AS item FROM benchmark),
+    e AS (SELECT qid, min(uid) AS uid FROM i JOIN toks ON contains(' ' || array_to_string(t, ' ') || ' ', item) WHERE trim(item) <> '' GROUP BY qid), f AS (SELECT e.qid, rank FROM e LEFT JOIN top ON top.qid = e.qid AND top.uid = e.uid)
+    SELECT count(*) AS n_queries, round(count(rank) / count(*) / 10, 9) AS precision_at_k, round(count(rank) / count(*), 9) AS recall_at_k, round(sum(coalesce(1 / rank, 0)) / count(*), 9) AS mrr FROM f"""
+)
 def known_item_quality(spark, sf_dir):
-    """Known items among made-up threads: each query names the one drawer that it must find first. It reads no table."""
-    drawers, wanted = evaluate.known_item_corpus(spark)
-    wanted = wanted.select(F.xxhash64("query").alias("qid"), F.col("expected_drawer_uid").alias("uid"), text.tokens(F.col("query")).alias("terms"))
-    found = evaluate.quality(wanted.select("qid", "uid"), top_per_query(index.build(drawers).match_all(wanted.select("qid", "terms")), 10))
+    """How well a phrase of three words finds a document that holds the whole benchmark passage, known from the texts and not from the index."""
+    words = lambda c: F.array_join(text.tokens(F.col(c)), " ")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry"), words("text").alias("words"))
+    rows = stored(spark, sf_dir).select(F.col("drawer_uid").alias("uid"), words("content").alias("words"))
+    known = dictionary.find(rows, "uid", "words", items).groupBy(F.col("entry").alias("qid")).agg(F.min("uid").alias("uid"))
+    found = evaluate.quality(known, top_per_query(batch_scores(spark, sf_dir), 10))
     return found.select("n_queries", *[F.round(c, 9).alias(c) for c in ("precision_at_k", "recall_at_k", "mrr")])
 
 

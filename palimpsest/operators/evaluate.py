@@ -7,13 +7,14 @@ import random
 import time
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..plans.bm25 import Index, top_per_query
 from ..plans.match import literal
 from .index import completed, lengths, postings, statistics, with_identity
+from .ranges import running_sum
 
 
 def quality(expected: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
@@ -29,9 +30,23 @@ def quality(expected: DataFrame, hits: DataFrame, k: int = 10) -> DataFrame:
 
 
 def latency(samples: DataFrame, column: str) -> DataFrame:
-    """p50, p95 and p99, by linear interpolation."""
-    p = F.percentile(column, F.array(*[F.lit(x) for x in (0.5, 0.95, 0.99)]))
-    return samples.agg(p.alias("p")).select(*[F.round(F.col("p")[i], 9).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
+    """p50, p95 and p99, by linear interpolation; null where there are no values.
+
+    Equal values are counted first. The counts are summed up along the values, in ranges, and of each rank only the value that
+    reaches it is taken: no task holds all values.
+    """
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    counts = samples.select(F.col(column).alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+    along = running_sum(counts, ["value"], F.col("n"), "upto")
+    along = along.crossJoin(F.broadcast(along.agg((F.max("upto") - 1).alias("last"))))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("value")))
+
+    ranks = {name: F.col("last") * p for name, p in shares.items()}
+    ends = [c for name, r in ranks.items() for c in (at(F.floor(r)).alias(f"{name}_low"), at(F.ceil(r)).alias(f"{name}_high"), F.max(r - F.floor(r)).alias(f"{name}_rest"))]
+    found = along.agg(*ends)
+    return found.select(*[F.round((1 - F.col(f"{n}_rest")) * F.col(f"{n}_low") + F.col(f"{n}_rest") * F.col(f"{n}_high"), 9).alias(n) for n in shares])
 
 
 DRAWERS = "content string, created_at long, position_in_thread int, role string, source string, source_id string, thread_id string"

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..scratch import shared
+from . import dictionary
 from .ranges import running_sum
 
 #: Names that would read as no value (fixed values).
@@ -111,6 +113,13 @@ def link(drawers: DataFrame, seeds: list[tuple[str, str, list[str]]]) -> DataFra
     return drawers.select("drawer_uid", F.explode(F.array_compact(F.array(*flags))).alias("x")).select("drawer_uid", "x.name", "x.type")
 
 
+def link_all(drawers: DataFrame, seeds: DataFrame) -> DataFrame:
+    """As `link`, for a table of seeds (name, type, aliases) of any size: all names and aliases are one dictionary, and a drawer is read once for it."""
+    numbered = shared(seeds.select("name", "type", F.xxhash64("name", "type").alias("entry"), F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("words")))
+    found = dictionary.find(drawers, "drawer_uid", "content", numbered.select("entry", "words"))
+    return found.join(numbered.select("entry", "name", "type").distinct(), "entry").select("drawer_uid", "name", "type")
+
+
 def entities_of(drawer_uid: str, entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return mentions.where(F.col("drawer_uid") == drawer_uid).join(entities, F.col("entity_id") == F.col("id")).select(*entities.columns).orderBy("name", "id")
 

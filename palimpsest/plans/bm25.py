@@ -64,17 +64,19 @@ class Index:
 
         The span's last phrase starts at most `within` terms after its first one ends.
         """
-        every = None
-        for i, p in enumerate(near.phrases):
-            own = self.occurrences(p).select("uid", "start", (F.col("start") + len(p.terms)).alias("end"), F.lit(i).alias("i"))
-            every = own if every is None else every.union(own)
-        lists = every.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "i"))).alias("all"))
-        lists = lists.where(F.size(F.array_distinct(F.transform("all", lambda x: x["i"]))) == len(near.phrases))
-        # every span begins at an occurrence; what starts soon enough after its end is in it
-        span = lambda a: F.filter("all", lambda x: (x["start"] >= a["start"]) & (x["start"] <= a["end"] + near.within))
-        full = lambda s: F.size(F.array_distinct(F.transform(s, lambda x: x["i"]))) == len(near.phrases)
-        hits = lists.select("uid", F.explode(F.array_distinct(F.flatten(F.filter(F.transform("all", span), full)))).alias("x"))
-        hits = hits.groupBy("uid", F.col("x.i").alias("i")).agg(F.count("*").alias("tf"))
+        places = [self.occurrences(p).select("uid", "start", F.lit(i).alias("i"), F.lit(len(p.terms)).alias("long")) for i, p in enumerate(near.phrases)]
+        every = reduce(DataFrame.union, places)
+        # every span begins at an occurrence; what starts soon enough after its end is in it. Occurrences are swept in order:
+        # a span is as wide as its first phrase allows, and what an earlier full span reaches is a hit
+        order = Window.partitionBy("uid").orderBy("start")
+        full = F.lit(False)
+        for n in {len(p.terms) for p in near.phrases}:
+            span = order.rangeBetween(0, n + near.within)
+            held = [F.max(F.col("i") == i).over(span) for i in range(len(near.phrases))]
+            full = F.when(F.col("long") == n, reduce(Column.__and__, held)).otherwise(full)
+        spans = every.withColumn("reach", F.when(full, F.col("start") + F.col("long") + near.within))
+        hits = spans.withColumn("reach", F.max("reach").over(order.rangeBetween(Window.unboundedPreceding, 0))).where("start <= reach")
+        hits = hits.groupBy("uid", "i").agg(F.count("*").alias("tf"))
         parts = [self._scored(hits.where(F.col("i") == i).select("uid", "tf"), self._counts(p)) for i, p in enumerate(near.phrases)]
         return self._sum(parts)
 
