@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
+from .commits import Files
 from .functions import risk, text
 from .operators import dictionary, evaluate, extraction, graph, index, ops
 from .operators.rerank import rerank
@@ -265,6 +267,36 @@ def chat_exports(spark, sf_dir):
     return export_json.parse(files).drawers.select(*READ)
 
 
+def _exported(rows: DataFrame) -> str:
+    """Write rows of one column, JSON texts, as exports, an array a task; the folder that holds them."""
+    root = f"{scratch.folder(rows.sparkSession)}/tables/{uuid.uuid4().hex}"
+
+    def array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            for item in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([mark + item])], ["value"])
+                mark = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], ["value"])
+
+    rows.mapInArrow(array, "value string").write.text(root)
+    files = Files(rows.sparkSession, root)
+    for part in files.names(root):  # a task's file gets the name that exports have
+        if part.startswith("part-"):
+            files.fs.mkdirs(files.path(f"{root}/{part[:10]}"))
+            files.fs.rename(files.path(f"{root}/{part}"), files.path(f"{root}/{part[:10]}/conversations.json"))
+    return root
+
+
+@query(_made("'c' || conv_id", "claude_ai", "thread_id || ':' || turn"))
+def export_files(spark, sf_dir):
+    """The conversations as exports on disk, read from there in blocks, as large ones are."""
+    message = F.struct(F.col("role").alias("sender"), "text", F.date_format(F.timestamp_seconds(_time()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+    one = lambda lines: F.concat(F.lit('{"uuid": "c'), F.col("conv_id").cast("string"), F.lit('", "chat_messages": ['), F.array_join(lines, ","), F.lit("]}"))
+    files = _conversation_files(spark, sf_dir, F.lit(""), message, one)
+    return export_json.extract(spark, _exported(files.select("content")), large=1).drawers.select(*READ)
+
+
 @query(
     f"""WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') AS lines FROM documents),
     m AS (SELECT doc_id, CASE WHEN lines[-1] = '' THEN lines[:-2] ELSE lines END AS lines FROM l),
