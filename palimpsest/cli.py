@@ -80,7 +80,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     """Exit codes: 0 done, 1 nothing found or broken, 2 a bad request or no store."""
-    args = parser().parse_args(with_command(sys.argv[1:] if argv is None else argv))
+    own = list(sys.argv[1:] if argv is None else argv)
+    args = parser().parse_args(with_command(own))
+    args.own = own
     if not args.command:
         parser().print_help()
         return 0
@@ -110,7 +112,7 @@ def run(args: argparse.Namespace, spark: SparkSession | None) -> int:
         return 0
     if args.command == "index" and args.bg:
         # the same run in a process of its own, which outlives this one
-        own = [a for a in sys.argv[1:] if a != "--bg"]
+        own = [a for a in args.own if a != "--bg"]
         print(subprocess.Popen([sys.executable, "-m", __spec__.name, *own], stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, start_new_session=True).pid)
         return 0
     sources = config.load(args.config) if args.command == "index" or args.config else {"database": None, "sources": []}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,29 @@ TEMPLATES = {
 }
 
 
+#: Of each template, groups of lower-case pieces; a match holds one of every group.
+NEEDS = {
+    "ignore_prior_instructions": (("ignore", "disregard", "forget"), ("instruction", "prompt", "rule", "guideline", "direction")),
+    "dan_template": (("dan", "anything", "developer"),),
+    "you_are_now": (("unrestricted", "jailbroken", "longer", "free", "unfiltered"), ("you",)),
+    "system_prompt_leak": (("prompt", "instructions"), ("system", "initial", "hidden", "original")),
+    "role_play_reset": (("pretend", "act", "role"), ("rules", "restrictions", "filters", "safety", "unfiltered", "unrestricted", "jailbroken")),
+    "anthropic_override": (("override", "bypass", "ignore", "disable"), ("anthropic", "openai", "developer", "creator")),
+    "policy_off": (("safety", "content", "moderation", "filter", "guardrail", "restriction"), ("turn", "disable", "deactivate", "switch")),
+}
+#: Letters that a pattern takes for s, k or i in any case, but lower-casing doesn't make into them.
+ODD_CASE = "\u017f\u212a\u0130\u0131"
+
+
+def _may_match(seen: Column, name: str) -> Column:
+    """Whether a text holds what the template needs; most hold none of it, and no pattern is run on them."""
+    low = F.lower(seen)
+    held = F.lit(True)
+    for group in NEEDS[name]:
+        held = held & reduce(Column.__or__, [low.contains(piece) for piece in group])
+    return held | (_count(seen, ODD_CASE) > 0)
+
+
 def _count(text: Column, letters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, letters, ""))
 
@@ -51,7 +76,7 @@ def counts(text: Column) -> dict[str, Column]:
     """Findings of each kind."""
     text = F.coalesce(text, F.lit(""))
     seen = visible(text)
-    jailbreak = sum((F.regexp_count(seen, F.lit(p)) for p in TEMPLATES.values()), F.lit(0))
+    jailbreak = sum((F.when(_may_match(seen, n), F.regexp_count(seen, F.lit(p))).otherwise(0) for n, p in TEMPLATES.items()), F.lit(0))
     return {"bidi": _count(text, BIDI), "zero_width": _count(text, ZERO_WIDTH), "control": _count(text, CONTROL), "jailbreak": jailbreak, "confusable": F.size(confusables(seen))}
 
 
@@ -59,7 +84,9 @@ def confusables(seen: Column) -> Column:
     """Distinct words with letters of two scripts or more among Latin, Cyrillic and Greek, in order."""
     scripts = (r"[A-Za-z]", r"[\u0400-\u04FF]", r"[\u0370-\u03FF]")
     mixed = lambda w: sum((w.rlike(s).cast("int") for s in scripts), F.lit(0)) >= 2
-    return F.array_distinct(F.filter(F.split(seen, f"{WS}+"), mixed))
+    # no two of them without a Greek or Cyrillic letter: other texts are not taken apart
+    words = F.array_distinct(F.filter(F.split(seen, f"{WS}+"), mixed))
+    return F.when(seen.rlike(r"[\u0370-\u04FF]"), words).otherwise(F.array().cast("array<string>"))
 
 
 def total(found: dict[str, Column]) -> Column:
