@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..commits import Files
 from ..functions import risk
 from ..functions.text import content_hash, drawer_uid, fix_hint, keeps, role_map, tokens
+from ..plans.best import cell, sums
 from ..plans.bm25 import Index
+from ..scratch import drop, shared
 
 
 def with_identity(records: DataFrame) -> DataFrame:
@@ -78,21 +81,37 @@ def build(drawers: DataFrame) -> Index:
 
 
 def write_index(drawers: DataFrame, path: str, parts: int | None = None) -> None:
-    """Store postings in ranges of terms, so that a lookup of a term prunes row groups, with lengths and their sums."""
-    ranges = (parts, "term", "uid") if parts else ("term", "uid")
-    postings(drawers).repartitionByRange(*ranges).sortWithinPartitions("term", "uid", "pos").write.mode("overwrite").parquet(f"{path}/postings")
-    lengths(drawers).write.mode("overwrite").parquet(f"{path}/lengths")
-    sums = drawers.sparkSession.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total"))
-    sums.write.mode("overwrite").parquet(f"{path}/sums")
+    """Store postings in ranges of terms, so that a lookup of a term prunes row groups, with lengths and their sums, and
+    counts in ranges of terms and cells with the cells' sums. Texts are tokenized once."""
+    spark = drawers.sparkSession
+    ranged = lambda df, *by: df.repartitionByRange(*([parts] if parts else []), *by)
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
+    texts = shared(drawers.select(F.col("drawer_uid").alias("uid"), tokens(F.col("content")).alias("tokens")))
+    n = texts.select("uid", F.size("tokens").cast("long").alias("length"))
+    put(ranged(texts.select("uid", F.posexplode("tokens").alias("pos", "term")), "term", "uid").sortWithinPartitions("term", "uid", "pos"), "postings")
+    put(n, "lengths")
+    put(spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")), "sums")
+    counted = texts.select("uid", F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term")).groupBy("uid", "length", "term").agg(F.count("*").alias("tf"))
+    counted = shared(counted.select("term", cell(F.col("tf"), F.col("length")).alias("cell"), "uid", "tf", "length"), texts)
+    put(ranged(counted, "term", "cell", "uid").sortWithinPartitions("term", "cell"), "counts")
+    put(sums(counted).coalesce(parts or 8).sortWithinPartitions("term"), "cells")
+    drop(counted)
 
 
 def read_index(spark, *paths: str, missing: DataFrame | None = None) -> Index:
-    """The index whose parts lie at some paths; drawers that are missing there are indexed as they are used."""
-    posts, n, sums = (spark.read.parquet(*[f"{p}/{t}" for p in paths]) for t in ("postings", "lengths", "sums"))
+    """The index whose parts lie at some paths; drawers that are missing there are indexed as they are used.
+
+    It has counts and cells if all parts have, and none is missing.
+    """
+    at = lambda name: spark.read.parquet(*[f"{p}/{name}" for p in paths])
+    posts, n, totals = at("postings"), at("lengths"), at("sums")
     if missing is not None:
         more = lengths(missing)
-        posts, n, sums = posts.union(postings(missing)), n.union(more), sums.union(more.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))))
-    return Index(posts, n, sums.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("average")))
+        posts, n, totals = posts.union(postings(missing)), n.union(more), totals.union(more.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))))
+    stats = totals.agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("average"))
+    if missing is not None or not all(Files(spark, p).exists(f"{p}/cells/_SUCCESS") for p in paths):
+        return Index(posts, n, stats)
+    return Index(posts, n, stats, at("counts"), at("cells"))
 
 
 def needs_index(files: DataFrame, state: DataFrame) -> DataFrame:

@@ -22,15 +22,19 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(raw > 0, raw).otherwise(F.lit(LEAST_IDF))
 
 
-def weight(tf: Column, length: Column, average: Column) -> Column:
+def weight(tf, length, average):
+    """What a count adds, before its idf; of columns or of numbers."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
 class Index:
-    """Postings (uid, pos, term), document lengths (uid, length) and one row of statistics (n, average) of a corpus."""
+    """Postings (uid, pos, term), document lengths (uid, length) and one row of statistics (n, average) of a corpus.
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, stats: DataFrame):
-        self.postings, self.lengths, self.stats = postings, lengths, stats
+    A stored index also has counts (term, cell, uid, tf, length) and the cells' sums, from which `best` reads the weightiest.
+    """
+
+    def __init__(self, postings: DataFrame, lengths: DataFrame, stats: DataFrame, counts: DataFrame | None = None, cells: DataFrame | None = None):
+        self.postings, self.lengths, self.stats, self.counts, self.cells = postings, lengths, stats, counts, cells
 
     def occurrences(self, p: Phrase) -> DataFrame:
         """(uid, start) of a phrase."""

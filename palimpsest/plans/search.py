@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bold, query_terms, snippet
 from ..operators.rerank import over_fetch, rerank
+from .best import Best, best, single_terms
 from .bm25 import Index
 from .match import literal, parse
 
@@ -26,6 +27,11 @@ def clamp(limit: object) -> int:
         return DEFAULT_LIMIT
 
 
+def ranked() -> list[Column]:
+    """The best first; equal scores by rowid."""
+    return [F.desc("score"), F.asc("rowid"), F.asc("drawer_uid")]
+
+
 def source_list(source: str | Iterable[str] | None) -> list[str]:
     return [s for s in ([source] if isinstance(source, str) else source or []) if s]
 
@@ -63,24 +69,36 @@ class Searcher:
 
     def matches(self, query: str, raw: bool = False, **filters) -> DataFrame:
         """Every matching drawer with its score; a blank query matches none."""
-        tree = parse(query) if raw and query.strip() else literal(query)
-        found = self.index.match(tree).withColumnRenamed("uid", "drawer_uid")
-        return visible(filtered(self.drawers, **filters), self.hidden).join(found, "drawer_uid")
+        return self._scored(self.index.match(self._tree(query, raw)), **filters)
+
+    @staticmethod
+    def _tree(query: str, raw: bool):
+        return parse(query) if raw and query.strip() else literal(query)
+
+    def _scored(self, found: DataFrame, **filters) -> DataFrame:
+        return visible(filtered(self.drawers, **filters), self.hidden).join(found.withColumnRenamed("uid", "drawer_uid"), "drawer_uid")
+
+    def best(self, query: str, k: int, raw: bool = False, **filters) -> Best | None:
+        """What the index's cells say of the k best, where the query is of single terms and the index has cells; else None."""
+        terms = single_terms(self._tree(query, raw)) if self.index.cells is not None else None
+        return best(self.index, terms, k, lambda found: self._scored(found, **filters).orderBy(*ranked()).limit(k).withColumnRenamed("drawer_uid", "uid")) if terms else None
 
     def search(self, query: str, *, limit: object = DEFAULT_LIMIT, mode: str = "bm25", raw: bool = False, full: bool = False, **filters) -> DataFrame:
-        """Best first with a rank from 1: all of a drawer's columns, score, rank, snippet."""
+        """Best first with a rank from 1: all of a drawer's columns, score, rank, snippet. A query of single terms is looked up at once, others as the result is used."""
         if mode not in MODES:
             raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
         k = clamp(limit)
         again = mode == "rerank" and self.scorer is not None
-        order = [F.desc("score"), F.asc("rowid"), F.asc("drawer_uid")]
-        best = self.matches(query, raw, **filters).orderBy(*order).limit(over_fetch(k) if again else k)
-        best = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        n = over_fetch(k) if again else k
+        known = self.best(query, n, raw, **filters)
+        found = self.matches(query, raw, **filters) if known is None else self._scored(F.broadcast(known.found), **filters)
+        top = found.orderBy(*ranked()).limit(n)
+        top = top.withColumn("rank", F.row_number().over(Window.orderBy(*ranked())))
         if again:
-            best = rerank(best, query, self.scorer, k)
+            top = rerank(top, query, self.scorer, k)
         terms = query_terms(query)
         text = bold(F.col("content"), terms, self.color) if full else snippet(F.col("content"), terms, self.color)
-        return best.withColumn("snippet", text).orderBy("rank")
+        return top.withColumn("snippet", text).orderBy("rank")
 
     def hits(self, query: str, **options) -> DataFrame:
         return self.search(query, **options).select("drawer_uid", "score", "snippet", "source", "created_at", "rank")
