@@ -16,8 +16,9 @@ from .common import shared, small
 WORDS, FRACTION = 5, 1 / 8
 #: Ids that share a window; the first document of the next span joins them.
 SPAN = 256
-#: Spans that share a window; levels of windows, so that any two spans' numbers agree above them.
+#: Spans that share a window; levels of windows, so that any two spans' numbers agree above them; slots of one id, and levels for ids with slots.
 WIDTH, LEVELS = 4_096, 5
+SLOTS, DEEP = 2**31, 8
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -73,37 +74,68 @@ def _next_keys(keys: DataFrame, levels: int = LEVELS) -> DataFrame:
     return own.join(above.select(F.col("key").alias("up"), "next"), "up").select("key", "first", F.coalesce("own", "next").alias("next"))
 
 
+def _spans(docs: DataFrame) -> DataFrame:
+    """(key, first, n): the lowest id and the number of rows of each span, with the key."""
+    spans = docs.groupBy(F.col("span").alias("key")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
+    return shared(spans.select("key", F.struct("id", "key").alias("first"), "n"))
+
+
+def _split(docs: DataFrame, crowded: DataFrame, spans: int) -> DataFrame:
+    """docs with each id of a crowded span as a span of its own, or as many as it has SPAN rows, and with copies."""
+    ids = shared(docs.join(small(crowded, spans), "span", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")))
+    docs = docs.join(small(ids, ids.count()), F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    # a hash's share of its range, to 31 bits, times the slots
+    slots = F.ceil(F.col("n") / SPAN)
+    slot = F.floor(F.shiftrightunsigned(F.xxhash64("text"), 33) * slots / SLOTS)
+    first = F.col("span").cast("decimal(32,0)") * SPAN
+    key = F.when(F.col("n").isNull(), first * SLOTS).otherwise(F.coalesce(F.col("doc_id").cast("decimal(32,0)"), first) * SLOTS + slot)
+    docs = docs.withColumn("span", key.cast("decimal(32,0)"))
+    apart = docs.where("n IS NOT NULL").groupBy("doc_id", "text", "span").agg(F.count("*").alias("copies"))
+    return docs.where("n IS NULL").select("doc_id", "text", "span", F.lit(1).cast("long").alias("copies")).unionByName(apart)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> also span and extra, and more rows: with extra 1, a span's copy of the row that follows its last.
 
     Rows follow each other by doc_id, text, and the first follows the last. Ids are cut into spans of SPAN; each span also holds a copy of the next span's first row, so every text is shuffled
-    once and no task sees more than a span and a row, unless ids repeat. A null id comes first.
+    once and no task sees more than a span and a row. A null id comes first.
+
+    Where a span has more than twice SPAN rows, as ids repeat or are null, each id of it is a span, and one of more than SPAN rows is dealt
+    into as many as it needs by its texts' hashes: its rows follow each other by these and then by text. Equal rows are one there,
+    and `copies`, a column only then, counts them.
     """
     docs = docs.withColumn("span", F.coalesce(F.floor(F.col("doc_id") / SPAN), F.lit(-(2**62))))
-    spans = docs.groupBy(F.col("span").alias("key")).agg(F.min("doc_id").alias("first"))
-    keys = shared(spans)
-    spans = shared(_next_keys(keys), keys)
+    keys, levels = _spans(docs), LEVELS
+    crowded = keys.where(F.col("n") > 2 * SPAN).select(F.col("key").alias("span"))
+    if many := crowded.count():
+        docs = _split(docs, crowded, many)
+        keys, levels = _spans(docs), DEEP
+    spans = shared(_next_keys(keys.drop("n"), levels), keys)
     n = spans.count()
-    ends = spans.agg(F.min_by("first", "key").alias("first")).first()
-    # a null first is the null id's own; only the highest key has no next
-    high = spans.agg(F.max("key")).first()[0]
-    links = spans.select(F.col("key").alias("to"), F.when(F.col("key") == F.lit(high), F.lit(ends["first"])).otherwise(F.col("next")).alias("of"))
-    extra = docs.drop("span").join(small(links, n), F.col("doc_id").eqNullSafe(F.col("of"))).drop("of").withColumnRenamed("to", "span")
-    extra = extra.groupBy("span").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("x.*", "span", F.lit(1).alias("extra"))
-    return docs.withColumn("extra", F.lit(0)).unionByName(extra)
+    ends = spans.agg(F.min_by("first", "key").alias("first"))
+    # only the highest key has no next
+    links = spans.crossJoin(F.broadcast(ends.withColumnRenamed("first", "lowest"))).select(F.col("key").alias("to"), F.coalesce("next", "lowest").alias("of"))
+    links = links.select("to", F.col("of.id").alias("of"), F.col("of.key").alias("at"))
+    extra = docs.join(small(links, n), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("span") == F.col("at"))).select("to", "doc_id", "text")
+    extra = extra.groupBy(F.col("to").alias("span")).agg(F.min(F.struct("doc_id", "text")).alias("x")).select("x.*", "span", F.lit(1).alias("extra"))
+    return docs.withColumn("extra", F.lit(0)).unionByName(extra, allowMissingColumns=True)
 
 
 def fingerprints(docs: DataFrame, k: int = WORDS, fraction: float = FRACTION) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs.
 
     The edited text has its last floor(n_chars / 2) code points replaced by as many of the next document's first, or by
-    all of them. A null text counts as empty; rows of one doc_id follow each other by text, and a table of one row is
-    its own next. Extra columns are not read.
+    all of them. A null text counts as empty; rows of one doc_id follow each other by text, those of an id with more than SPAN
+    of them as `with_next` says, and a table of one row is its own next. Extra columns are not read.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = with_next(own).withColumn("sketch", sketch(F.col("text"), k, fraction))
     order = Window.partitionBy("span").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
     df = df.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order)).where("extra = 0")
+    if "copies" in df.columns:
+        df = df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        for own, following in (("text", "next_text"), ("sketch", "next_sketch")):
+            df = df.withColumn(following, F.when(F.col("copy") < F.col("copies"), F.col(own)).otherwise(F.col(following)))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     df = df.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
