@@ -23,6 +23,8 @@ from .repeats import by_text, byte_items, ids_repeat, joined_spans, occurrences,
 WINDOW, K = 100, 32
 #: Bytes of stretches in a shard, on average at most; shards in a task; shards that one path may fill.
 SHARD, SHARDS, PATH = 250_000, 8, 8
+#: Windows that a task holds at a time.
+CHUNK = 65_536
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -238,6 +240,50 @@ def _stretches(texts: DataFrame, window: int, with_bytes: bool) -> DataFrame:
     return in_batches(texts.select("d", "mark", "text", "parts"), run, schema)
 
 
+def window_rows(data: bytes, lo: int, hi: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, start) of the windows that start at lo to hi, CHUNK at a time; x and y are halves of a window's digest."""
+    for a in range(lo, hi + 1, CHUNK):
+        starts = range(a, min(a + CHUNK, hi + 1))
+        # a slice goes when its digest is there, so a chunk takes some bytes a window whatever the windows' length
+        digest = np.frombuffer(b"".join(hashlib.blake2b(data[i : i + window], digest_size=16).digest() for i in starts), np.int64)
+        yield digest[::2], digest[1::2], np.arange(starts.start, starts.stop, dtype=np.int32)
+
+
+def _windows(texts: DataFrame, window: int) -> DataFrame:
+    """(d, mark, text, parts) -> a row for each window of the parts, as `_stretches` has them without bytes.
+
+    Windows are told apart in the task, so that a text's list holds its parts and not its windows.
+    """
+    names = ["path", "x", "y", "d", "mark", "lo", "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+
+        def together() -> pa.RecordBatch:
+            nonlocal rows
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
+            held.clear()
+            rows = 0
+            return out
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                d, mark, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), encode(batch.column(2)[i].as_py())
+                for part in batch.column(3)[i]:
+                    path, lo, hi = (part[f].as_py() for f in ("path", "lo", "hi"))
+                    for x, y, start in window_rows(data, lo, hi, window):
+                        same = lambda v, n=len(x), kind=np.int64: np.full(n, v, kind)
+                        held.append([same(path), x, y, same(d), same(mark), start, same(window, kind=np.int32)])
+                        rows += len(x)
+                        if rows >= CHUNK:
+                            yield together()
+        if held:
+            yield together()
+
+    return in_batches(texts.select("d", "mark", "text", "parts"), run, "path long, x long, y long, d long, mark long, lo int, size int")
+
+
 def _sorted_shards(rows: DataFrame, window: int) -> DataFrame:
     """Rows of a shard, (shard, d, mark, lo, bytes) sorted by shard, -> (d, mark, lo, s, e): repeated starts from the stretch's first."""
 
@@ -294,8 +340,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, k: int = K, shard: int
     rows = rows.repartition(-(-shards // SHARDS), "shard").sortWithinPartitions("shard")
     starts = _sorted_shards(rows, window)
     partly = shared(starts.select("d", "mark", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e") - 1 + window).alias("e")), lists)
-    lists = by_text(many.select("path", "d", "mark", F.explode(F.sequence("lo", "hi")).alias("lo")).withColumn("hi", F.col("lo")), "path", "lo", "hi")
-    windows = shared(_stretches(with_parts(docs, lists, repeat), window, False), chosen)
+    windows = shared(_windows(with_parts(docs, by_text(many, "path", "lo", "hi"), repeat), window), chosen)
     alone, hot = _summed(windows)
     hot = shared(hot, alone, windows)
     return shared(joined_spans(again.union(partly).union(hot)), again, partly, hot)

@@ -80,3 +80,26 @@ def test_topk_of_more_queries_than_a_group(spark, monkeypatch):
         assert [(-s, j) for s, j in own] == list(zip(best.score[at], best.found[at], strict=True))
     # near queries in one group, and the bounds, leave most pairs' last dimensions alone
     assert best.survivors[-2] < 0.5 * best.survivors[-1]
+
+
+@pytest.mark.parametrize("chunk", [7, 1 << 16])
+def test_windows_of_long_texts_come_in_chunks(spark, monkeypatch, chunk):
+    """A path's stretches beyond what sorting takes, in long texts: windows are hashed a chunk at a time."""
+    import hashlib
+
+    monkeypatch.setattr(suffix_array, "CHUNK", chunk)
+    data = bytes(random.Random(4).choices(range(32, 127), k=3_000))
+    got = list(suffix_array.window_rows(data, 20, 2_800, 100))
+    assert max(len(x) for x, _, _ in got) <= chunk and [i for _, _, s in got for i in s] == list(range(20, 2_801))
+    digests = [hashlib.blake2b(data[i : i + 100], digest_size=16).digest() for i in range(20, 2_801)]
+    assert [a.tobytes() + b.tobytes() for x, y, _ in got for a, b in zip(x, y, strict=True)] == digests
+
+    rng = random.Random(12)
+    fresh = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    body = fresh(4_000)
+    texts = [(i, fresh(30 + i) + body[: 3_000 + 90 * i] + fresh(5) + body[500:] + fresh(40)) for i in range(9)] + [(20, None), (21, "")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found, want = spans_of(suffix_array.repeated_bytes(df, shard=300)), brute_bytes(texts)
+    for i, _ in texts:
+        own = found.get(i, [])
+        assert (sum(e - s for s, e in own), len(own)) == want[i][1:3]
