@@ -42,6 +42,8 @@ class Store:
 
     #: Folders of a table, at most; one more append makes one of all.
     PARTS = 64
+    #: Tables whose files' digests are kept beside them.
+    DIGESTED = ("drawers",)
     #: Files that one commit of an index run reads.
     BATCH = 20_000
 
@@ -177,10 +179,39 @@ class Store:
 
     def _write(self, name: str, rows: DataFrame) -> int:
         n = self._reserve(name)
-        rows.select(*schemas.TABLES[name].names).write.mode("overwrite").parquet(f"{self.path}/{name}/v{n}")
+        folder = f"{self.path}/{name}/v{n}"
+        rows.select(*schemas.TABLES[name].names).write.mode("overwrite").parquet(folder)
+        if name in self.DIGESTED:
+            self._digests(folder).write.mode("overwrite").parquet(f"{folder}/_digests")
         self._own.fresh.setdefault(name, []).append(n)
         return n
 
+    def _digests(self, folder: str) -> DataFrame:
+        """(file, size, digest) of a folder's files as they are; a task holds one file."""
+        files = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+        return files.select(F.substring_index("path", "/", -1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+
+    def damaged(self, name: str = "drawers") -> list[tuple[str, str]]:
+        """(file, reason) of a digested table's files that are not what was written, by folder and file; bytes are compared and nothing is parsed.
+
+        Folders from before digests were kept have none to compare and count as whole here.
+        """
+        out = []
+        for folder in (f"{self.path}/{name}/v{n}" for n in self._folders(name)):
+            if self.files.exists(f"{folder}/_digests/_SUCCESS"):
+                now = self._digests(folder).select("file", F.col("size").alias("now"), F.col("digest").alias("is"))
+                both = self.spark.read.parquet(f"{folder}/_digests").join(now, "file", "left").where("digest IS DISTINCT FROM is")
+                reason = F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("size"), F.format_string("%d bytes, not %d", "now", "size")).otherwise("other bytes")
+                out += [(f"{folder}/{r['file']}", r["reason"]) for r in both.select("file", reason.alias("reason")).collect()]
+        return sorted(out)
+
+    def _whole(self, name: str, damaged: list[tuple[str, str]]) -> DataFrame:
+        """The rows of a table's files but the damaged ones."""
+        bad = {f for f, _ in damaged}
+        files = [f"{self.path}/{name}/v{n}/{f}" for n in self._folders(name) for f in self.files.names(f"{self.path}/{name}/v{n}") if f.endswith(".parquet")]
+        files = [f for f in files if f not in bad]
+        return self.spark.read.schema(schemas.TABLES[name]).parquet(*files) if files else schemas.empty(self.spark, name)
+
     def replace(self, name: str, rows: DataFrame) -> None:
         """A new version; the one before stays until the next, for readers that still have it."""
         with self.transaction():
@@ -316,9 +347,12 @@ class Store:
         return {"ok": True, "drawer_uid": uid, "dry_run": dry_run, "reason": reason}
 
     def check(self) -> dict[str, str]:
-        """Tables that can't be read, and why; a snapshot or a new index run brings them back."""
+        """Tables that can't be read, or have damaged files, and why; a snapshot or a new index run brings them back."""
         bad = {}
         for name in schemas.TABLES:
+            if name in self.DIGESTED and (found := self.damaged(name)):
+                bad[name] = "; ".join(f"{f}: {reason}" for f, reason in found)
+                continue
             try:
                 self.read(name).write.format("noop").mode("overwrite").save()
             except Exception as e:  # noqa: BLE001  any failure to read is what is asked for
@@ -328,13 +362,18 @@ class Store:
     def rebuild(self, path: str | None = None) -> dict[str, str]:
         """What `check` finds broken, after it was brought back from a snapshot, where there is one, or emptied; then the index is made again.
 
-        An emptied table of drawers fills up at the next index run, as no file's state is kept with it.
+        Of drawers only what damaged files held is brought back; a file that is whole stays as it is, and without a snapshot
+        the next index run fills the gap, as no file's state is kept then.
         """
-        bad = self.check()
+        bad, damaged = self.check(), {name: self.damaged(name) for name in self.DIGESTED}
         other = Store(self.spark, path) if path else None
         with self.writing(), self.transaction():
             for name in bad:
-                self.replace(name, other.read(name) if other and other._version(name) else schemas.empty(self.spark, name))
+                back = other.read(name) if other and other._version(name) else schemas.empty(self.spark, name)
+                if damaged.get(name):
+                    whole = shared(self._whole(name, damaged[name]))
+                    back = whole.unionByName(back.join(whole.select("drawer_uid"), "drawer_uid", "left_anti").select(*whole.columns))
+                self.replace(name, back)
             if "drawers" in bad:
                 self.replace("index_state", schemas.empty(self.spark, "index_state"))
         if "drawers" in bad:
