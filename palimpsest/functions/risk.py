@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,33 +45,52 @@ TEMPLATES = {
 #: Of each template, groups of lower-case pieces; a match holds one of every group.
 NEEDS = {
     "ignore_prior_instructions": (("ignore", "disregard", "forget"), ("instruction", "prompt", "rule", "guideline", "direction")),
-    "dan_template": (("dan", "anything", "developer"),),
+    "dan_template": (("do anything now", "developer mode"),),
     "you_are_now": (("unrestricted", "jailbroken", "longer", "free", "unfiltered"), ("you",)),
     "system_prompt_leak": (("prompt", "instructions"), ("system", "initial", "hidden", "original")),
     "role_play_reset": (("pretend", "act", "role"), ("rules", "restrictions", "filters", "safety", "unfiltered", "unrestricted", "jailbroken")),
     "anthropic_override": (("override", "bypass", "ignore", "disable"), ("anthropic", "openai", "developer", "creator")),
     "policy_off": (("safety", "content", "moderation", "filter", "guardrail", "restriction"), ("turn", "disable", "deactivate", "switch")),
 }
+#: What a match may hold instead, in just this case.
+EXACT = {"dan_template": "DAN"}
 #: Letters that a pattern takes for s, k or i in any case, but lower-casing doesn't make into them.
 ODD_CASE = "\u017f\u212a\u0130\u0131"
 
 
+def _lower(seen: Column) -> Column:
+    """A to Z in lower case, which is all that pieces need."""
+    return F.translate(seen, ascii_uppercase, ascii_lowercase)
+
+
 def _may_match(seen: Column, name: str) -> Column:
     """Whether a text holds what the template needs; most hold none of it, and no pattern is run on them."""
-    low = F.lower(seen)
+    low = _lower(seen)
     held = F.lit(True)
     for group in NEEDS[name]:
         held = held & reduce(Column.__or__, [low.contains(piece) for piece in group])
-    return held | (_count(seen, ODD_CASE) > 0)
+    if name in EXACT:
+        held = held | seen.contains(EXACT[name])
+    # first, as all templates share it
+    return _holds(seen, ODD_CASE) | held
+
+
+def _holds(text: Column, letters: str) -> Column:
+    """Whether a text holds any of the letters; those beyond Latin-1 are tested by ranges."""
+    codes = sorted(map(ord, letters))
+    runs = [list(run) for _, run in groupby(codes, lambda c: c - codes.index(c) if c > 0xFF else -c)]
+    return text.rlike("[" + "".join(rf"\x{{{r[0]:x}}}" + (rf"-\x{{{r[-1]:x}}}" if len(r) > 1 else "") for r in runs) + "]")
 
 
 def _count(text: Column, letters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, letters, ""))
+    """How many of the letters a text holds; most hold none and are not copied."""
+    return F.when(_holds(text, letters), F.length(text) - F.length(F.translate(text, letters, ""))).otherwise(0)
 
 
 def visible(text: Column) -> Column:
     """The text without the characters of the first pass."""
-    return F.translate(F.coalesce(text, F.lit("")), BIDI + ZERO_WIDTH + CONTROL, "")
+    text, hidden = F.coalesce(text, F.lit("")), BIDI + ZERO_WIDTH + CONTROL
+    return F.when(_holds(text, hidden), F.translate(text, hidden, "")).otherwise(text)
 
 
 def counts(text: Column) -> dict[str, Column]:
@@ -105,14 +126,15 @@ def _offsets(text: Column, letters: str) -> Column:
     code = lambda c: F.lpad(F.hex(F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("long")), 4, "0")
     found = lambda c, i: F.when(F.lit(letters).contains(c), F.concat(F.lit("U+"), code(c), F.lit(" at offset "), i.cast("string")))
     each = F.array_compact(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), found))
-    return F.when(_count(text, letters) > 0, each).otherwise(F.array().cast("array<string>"))
+    return F.when(_holds(text, letters), each).otherwise(F.array().cast("array<string>"))
 
 
 def _excerpts(seen: Column) -> Column:
     """`name: 'excerpt'` for each template match, the excerpt trimmed and 80 characters at most."""
     cut = lambda x: F.when(F.length(x) > 80, F.concat(F.substring(x, 1, 77), F.lit("..."))).otherwise(x)
     shown = lambda n: lambda x: F.concat(F.lit(f"{n}: "), quoted(cut(F.trim(x))))
-    return F.concat(*[F.transform(F.regexp_extract_all(seen, F.lit(p), F.lit(0)), shown(n)) for n, p in TEMPLATES.items()])
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(_may_match(seen, n), F.transform(F.regexp_extract_all(seen, F.lit(p), F.lit(0)), shown(n))).otherwise(none) for n, p in TEMPLATES.items()])
 
 
 def quoted(text: Column) -> Column:
