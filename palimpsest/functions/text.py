@@ -18,6 +18,9 @@ except ImportError:
 #: White space as Python's str sees it (fixed values); Java's own classes miss U+001C to U+001F.
 _WIDE = "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WS = "[\\s\\x0b\\x1c-\\x1f\\x85\\xa0" + _WIDE + "]"
+#: The same characters, for `btrim`, and those that are no blank as a class that tests few ranges: unions of single characters are slow.
+BLANKS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0" + _WIDE
+_ODD = r"\t\n\x0b\f\r\x1c-\x1f\x85\xa0[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85" + chr(0x2028) + chr(0x2029) + "]"
 #: Separates role and content in the hashed input; shortest content; uid digits of the hash; milliseconds start here (fixed values).
 HASH_SEPARATOR, MIN_CONTENT, UID_DIGITS, MILLISECONDS = "\x1f", 30, 12, 32_503_680_000
@@ -26,12 +29,13 @@ BOLD, PLAIN = "\x1b[1m", "\x1b[0m"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalize_ws(c: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    # a single blank stays as it is and is no match
+    return F.trim(F.regexp_replace(c, f" [ {_ODD}]+|[{_ODD}][ {_ODD}]*", " "))
 
 
 def content_hash(role: Column, content: Column) -> Column:
