@@ -331,7 +331,7 @@ def tokenize(spark, sf_dir):
 
 @query(f"WITH {POSTINGS} SELECT term, count(DISTINCT uid) AS df, count(*) AS tf FROM posts GROUP BY term")
 def postings_df(spark, sf_dir):
-    return index.vocabulary(index.postings(docs(spark, sf_dir)))
+    return index.vocabulary(docs(spark, sf_dir))
 
 
 @query(f"WITH {POSTINGS} SELECT * FROM lens")
@@ -346,7 +346,7 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"WITH {POSTINGS} SELECT term, count(DISTINCT uid) AS df FROM posts GROUP BY term ORDER BY df DESC, term LIMIT 50")
 def vocab_topk(spark, sf_dir):
-    return index.vocabulary(index.postings(docs(spark, sf_dir))).select("term", "df").orderBy(F.desc("df"), "term").limit(50)
+    return index.vocabulary(docs(spark, sf_dir)).select("term", "df").orderBy(F.desc("df"), "term").limit(50)
 
 
 @query("SELECT event_type AS source, user_id::VARCHAR AS source_path, max(epoch(date_trunc('second', ts)))::BIGINT AS last_indexed_mtime, count(*) AS drawer_count FROM events GROUP BY 1, 2")

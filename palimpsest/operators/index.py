@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..commits import Files
 from ..functions import risk
 from ..functions.text import content_hash, drawer_uid, fix_hint, keeps, role_map, tokens
-from ..plans.best import cell, sums
+from ..plans.best import BROADCAST, cell, sums
 from ..plans.bm25 import Index
 from ..scratch import drop, shared
 
@@ -69,9 +69,22 @@ def statistics(doc_lengths: DataFrame) -> DataFrame:
     return doc_lengths.agg(F.count("*").alias("n"), (F.sum("length") / F.count("*")).alias("average"))
 
 
-def vocabulary(posts: DataFrame) -> DataFrame:
-    """(term, df, tf)."""
-    return posts.groupBy("term", "uid").count().groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("tf"))
+def vocabulary(drawers: DataFrame) -> DataFrame:
+    """(term, df, tf) of drawers; df counts uids, which few drawers share.
+
+    A task sums its texts up by term before any shuffle, and only a uid's further drawers go by (term, uid).
+    """
+    texts = drawers.select(F.col("drawer_uid").alias("uid"), tokens(F.col("content")).alias("tokens"))
+    # each text gives its terms once, for df, and all its tokens, for tf
+    kinds = texts.select(F.posexplode(F.array(F.array_distinct("tokens"), F.col("tokens"))).alias("every", "terms"))
+    counted = kinds.select("every", F.explode("terms").alias("term")).groupBy("term").agg(F.sum(1 - F.col("every")).alias("df"), F.sum("every").alias("tf"))
+    again = shared(drawers.groupBy(F.col("drawer_uid").alias("uid")).count().where("count > 1").select("uid"))
+    n = again.count()
+    if not n:
+        return counted
+    own = texts.join(F.broadcast(again) if n <= BROADCAST else again, "uid", "left_semi")
+    more = own.select("uid", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term", "uid").agg((1 - F.count("*")).alias("df")).groupBy("term").agg(F.sum("df").alias("df"), F.lit(0).cast("long").alias("tf"))
+    return counted.union(more).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def build(drawers: DataFrame) -> Index:
