@@ -46,26 +46,35 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.document_drawers(table(spark, sf_dir, "documents"))
 
 
-_ARCHIVES: dict[tuple, tuple[DataFrame, Index]] = {}
+#: Of a table's files in a session: the folder and the drawers that were written, and their index.
+_STORED: dict[tuple, tuple[str, DataFrame]] = {}
+_INDEXES: dict[tuple, Index] = {}
 
 
-def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
-    """The documents' drawers and their index as a store holds them: written once for a table's files in a session, then read."""
+def _written(spark: SparkSession, sf_dir: str) -> tuple[tuple, str, DataFrame]:
     sc, at = spark.sparkContext, spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
     key = (sc.applicationId, sf_dir, *sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
-    if key not in _ARCHIVES:
+    if key not in _STORED:
         path = f"{scratch.lasting(spark)}/{uuid.uuid4().hex}"
         made = docs(spark, sf_dir)
         made.write.option("compression", "zstd").parquet(f"{path}/drawers")
-        drawers = spark.read.schema(made.schema).parquet(f"{path}/drawers")
+        _STORED[key] = path, spark.read.schema(made.schema).parquet(f"{path}/drawers")
+    return key, *_STORED[key]
+
+
+def archive(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
+    """The documents' drawers and their index as a store holds them: written once for a table's files in a session, then read."""
+    key, path, drawers = _written(spark, sf_dir)
+    if key not in _INDEXES:
         index.write_index(drawers, f"{path}/index")
-        _ARCHIVES[key] = drawers, index.read_index(spark, f"{path}/index")
-    return _ARCHIVES[key]
+        _INDEXES[key] = index.read_index(spark, f"{path}/index")
+    return drawers, _INDEXES[key]
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive(spark, sf_dir)[0]
+    """The drawers alone; no index is made for them."""
+    return _written(spark, sf_dir)[2]
 
 
 # ---- SQL building blocks ----
@@ -744,7 +753,7 @@ def known_item_quality(spark, sf_dir):
     """How well a phrase of three words finds a document that holds the whole benchmark passage, known from the texts and not from the index."""
     words = lambda c: F.array_join(text.tokens(F.col(c)), " ")
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry"), words("text").alias("words"))
-    rows = stored(spark, sf_dir).select(F.col("drawer_uid").alias("uid"), words("content").alias("words"))
+    rows = archive(spark, sf_dir)[1].texts.select("uid", F.array_join("tokens", " ").alias("words"))
     known = dictionary.find(rows, "uid", "words", items).groupBy(F.col("entry").alias("qid")).agg(F.min("uid").alias("uid"))
     found = evaluate.quality(known, top_per_query(batch_scores(spark, sf_dir), 10))
     return found.select("n_queries", *[F.round(c, 9).alias(c) for c in ("precision_at_k", "recall_at_k", "mrr")])

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +16,10 @@ from ..functions import risk
 from ..functions.text import content_hash, drawer_uid, fix_hint, keeps, role_map, tokens
 from ..plans.best import BROADCAST, cell, sums
 from ..plans.bm25 import Index
-from ..scratch import drop, shared
+from ..scratch import put, shared
+
+#: Tokens of a range of the index, about.
+TOKENS = 2_000_000
 
 
 def with_identity(records: DataFrame) -> DataFrame:
@@ -93,38 +102,62 @@ def build(drawers: DataFrame) -> Index:
     return Index(postings(drawers), n, statistics(n))
 
 
+def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, tokens) -> (uid, term, tf, length, positions), a row for each term of a text."""
+    for batch in batches:
+        uid, texts = batch.column(0), batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = int(sizes.sum())
+        coded = texts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        key = row * len(coded.dictionary) + codes
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        ends, own = np.append(first, total), order[first]
+        positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[order], pa.int32()))
+        arrays = [uid.take(pa.array(row[own])), coded.dictionary.take(pa.array(codes[own])), pa.array(np.diff(ends), pa.int64()), pa.array(sizes[row[own]], pa.int64()), positions]
+        yield pa.RecordBatch.from_arrays(arrays, ["uid", "term", "tf", "length", "positions"])
+
+
 def write_index(drawers: DataFrame, path: str, parts: int | None = None) -> None:
-    """Store postings in ranges of terms, so that a lookup of a term prunes row groups, with lengths and their sums, and
-    counts in ranges of terms and cells with the cells' sums. Texts are tokenized once."""
-    spark = drawers.sparkSession
-    ranged = lambda df, *by: df.repartitionByRange(*([parts] if parts else []), *by)
-    put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
-    texts = shared(drawers.select(F.col("drawer_uid").alias("uid"), tokens(F.col("content")).alias("tokens")))
-    n = texts.select("uid", F.size("tokens").cast("long").alias("length"))
-    put(ranged(texts.select("uid", F.posexplode("tokens").alias("pos", "term")), "term", "uid").sortWithinPartitions("term", "uid", "pos"), "postings")
-    put(n, "lengths")
-    put(spark.read.parquet(f"{path}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")), "sums")
-    counted = texts.select("uid", F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term")).groupBy("uid", "length", "term").agg(F.count("*").alias("tf"))
-    counted = shared(counted.select("term", cell(F.col("tf"), F.col("length")).alias("cell"), "uid", "tf", "length"), texts)
-    put(ranged(counted, "term", "cell", "uid").sortWithinPartitions("term", "cell"), "counts")
-    put(sums(counted).coalesce(parts or 8).sortWithinPartitions("term"), "cells")
-    drop(counted)
+    """Store each drawer's tokens, and from them, in ranges of terms and cells, a row for each term of a drawer with its count and
+    positions, so that a lookup of a term, or of its cells, prunes row groups; also lengths with their sums, and the cells' sums.
+
+    Texts are tokenized once, and what a text holds of a term is shuffled once, as one row. A range has TOKENS tokens, about.
+    """
+    read = drawers.sparkSession.read.parquet
+    put(drawers.select(F.col("drawer_uid").alias("uid"), tokens(F.col("content")).alias("tokens")), f"{path}/texts")
+    texts = read(f"{path}/texts")
+    put(texts.select("uid", F.size("tokens").cast("long").alias("length")), f"{path}/lengths")
+    put(read(f"{path}/lengths").agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")), f"{path}/sums")
+    ranges = parts or 1 + read(f"{path}/sums").first()["total"] // TOKENS
+    terms = texts.mapInArrow(_terms_of, "uid string, term string, tf long, length long, positions array<int>").withColumn("cell", cell(F.col("tf"), F.col("length")))
+    ranged = terms.drop("tf").repartitionByRange(ranges, "term", "cell", "uid").sortWithinPartitions("term", "cell")
+    put(ranged.withColumn("tf", F.size("positions").cast("long")), f"{path}/terms")
+    put(sums(read(f"{path}/terms")).coalesce(parts or 8).sortWithinPartitions("term"), f"{path}/cells")
 
 
 def read_index(spark, *paths: str, missing: DataFrame | None = None) -> Index:
     """The index whose parts lie at some paths; drawers that are missing there are indexed as they are used.
 
-    It has counts and cells if all parts have, and none is missing.
+    It has texts, terms and cells if all parts have, and none is missing; parts of earlier versions have rows for positions only.
     """
-    at = lambda name: spark.read.parquet(*[f"{p}/{name}" for p in paths])
-    posts, n, totals = at("postings"), at("lengths"), at("sums")
+    at = lambda name, own=paths: spark.read.parquet(*[f"{p}/{name}" for p in own])
+    whole = [p for p in paths if Files(spark, p).exists(f"{p}/terms/_SUCCESS")]
+    old = [p for p in paths if p not in whole]
+    found = [at("terms", whole).select("uid", F.explode("positions").alias("pos"), "term")] if whole else []
+    posts = reduce(DataFrame.union, found + ([at("postings", old).select("uid", "pos", "term")] if old else []))
+    n, totals = at("lengths"), at("sums")
     if missing is not None:
         more = lengths(missing)
         posts, n, totals = posts.union(postings(missing)), n.union(more), totals.union(more.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))))
     stats = totals.agg(F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("average"))
-    if missing is not None or not all(Files(spark, p).exists(f"{p}/cells/_SUCCESS") for p in paths):
+    if missing is not None or old or not all(Files(spark, p).exists(f"{p}/cells/_SUCCESS") for p in paths):
         return Index(posts, n, stats)
-    return Index(posts, n, stats, at("counts"), at("cells"))
+    return Index(posts, n, stats, at("terms"), at("cells"), at("texts"))
 
 
 def needs_index(files: DataFrame, state: DataFrame) -> DataFrame:

@@ -15,15 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bm25 import LEAST_IDF, Index, weight
+from .bm25 import BROADCAST, LEAST_IDF, Index, weight
 from .match import Either, Phrase
 
 #: Cells an octave of counts and of lengths; lengths take the lower numbers of a cell's name.
 STEPS, LENGTHS = 4, 256
 #: Rows of the first round, for each place in the result, and how much more each further round reads.
 FIRST, MORE = 16, 8
-#: Candidates that are broadcast, at most.
-BROADCAST = 500_000
 #: Bounds are raised by this, so that rounding drops nothing.
 SLACK = 1 + 1e-9
 

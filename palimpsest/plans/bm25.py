@@ -11,10 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import shared
 from .match import Both, Either, Near, Phrase, Without
 
 #: Okapi constants, and what stands for an idf of zero or less (fixed values).
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Queries, candidates or uids that are broadcast, at most.
+BROADCAST = 500_000
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -30,11 +33,12 @@ def weight(tf, length, average):
 class Index:
     """Postings (uid, pos, term), document lengths (uid, length) and one row of statistics (n, average) of a corpus.
 
-    A stored index also has counts (term, cell, uid, tf, length) and the cells' sums, from which `best` reads the weightiest.
+    A stored index also has counts (term, cell, uid, tf, length, positions) and the cells' sums, from which `best` reads the
+    weightiest, and texts (uid, tokens).
     """
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, stats: DataFrame, counts: DataFrame | None = None, cells: DataFrame | None = None):
-        self.postings, self.lengths, self.stats, self.counts, self.cells = postings, lengths, stats, counts, cells
+    def __init__(self, postings: DataFrame, lengths: DataFrame, stats: DataFrame, counts: DataFrame | None = None, cells: DataFrame | None = None, texts: DataFrame | None = None):
+        self.postings, self.lengths, self.stats, self.counts, self.cells, self.texts = postings, lengths, stats, counts, cells, texts
 
     def occurrences(self, p: Phrase) -> DataFrame:
         """(uid, start) of a phrase."""
@@ -54,6 +58,8 @@ class Index:
 
     def _counts(self, p: Phrase) -> DataFrame:
         """(uid, tf) of a phrase."""
+        if self.counts is not None and len(p.terms) == 1 and not p.prefix and not p.initial:
+            return self.counts.where(F.col("term") == p.terms[0]).groupBy("uid").agg(F.sum("tf").alias("tf"))
         return self.occurrences(p).groupBy("uid").agg(F.count("*").alias("tf"))
 
     def _scored(self, counts: DataFrame, every: DataFrame) -> DataFrame:
@@ -110,6 +116,35 @@ class Index:
         A phrase can only start where its rarest term says; its other terms are looked up at those places alone, so that
         common terms meet no query by themselves.
         """
+        hits = self._hits(queries) if self.texts is not None else self._voted(queries).join(self.lengths, "uid")
+        df = hits.join(hits.groupBy("qid").agg(F.count("*").alias("df")), "qid").crossJoin(F.broadcast(self.stats))
+        return df.select("qid", "uid", (idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("length"), F.col("average"))).alias("score"))
+
+    def _hits(self, queries: DataFrame) -> DataFrame:
+        """(qid, uid, length, tf) from a stored index.
+
+        Where the two rarest terms stand as in the phrase, the text itself is compared. Queries and these places are tables of
+        their own, broadcast up to a number; so neither the terms nor the texts are shuffled for a few.
+        """
+        few = lambda df: F.broadcast(df) if df.count() <= BROADCAST else df
+        wanted = shared(queries.where(F.size("terms") > 0).select("qid", "terms", F.posexplode("terms").alias("i", "term")))
+        often = self.cells.join(few(shared(wanted.select("term").distinct())), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "i", "term")))
+        plans = wanted.join(often, "term", "left").groupBy("qid").agg(order.alias("o"), F.any_value("terms").alias("terms"))
+        plans = shared(plans.select("qid", "terms", F.col("o")[0].alias("a"), F.get("o", F.lit(1)).alias("b")))
+        at = lambda i: F.filter(F.transform("positions", lambda p: p - i), lambda p: p >= 0)
+        rare = few(plans.select("qid", F.col("a.term").alias("term"), F.col("a.i").alias("i"), "b"))
+        places = self.counts.join(rare, "term").select("qid", "uid", "length", "b", at(F.col("i")).alias("starts")).where(F.size("starts") > 0)
+        also = self.counts.join(few(shared(plans.where("b IS NOT NULL").select(F.col("b.term").alias("term")).distinct())), "term", "left_semi").select("uid", "term", "positions")
+        pairs = places.where("b IS NOT NULL").withColumn("term", F.col("b.term")).join(also, ["uid", "term"])
+        pairs = pairs.select("qid", "uid", "length", F.array_intersect("starts", at(F.col("b.i"))).alias("starts")).where(F.size("starts") > 0)
+        places = shared(places.where("b IS NULL").select("qid", "uid", "length", "starts").union(pairs))
+        texts = self.texts.join(few(places), "uid").join(few(plans.select("qid", "terms")), "qid")
+        here = F.filter("starts", lambda s: F.slice("tokens", s + 1, F.size("terms")) == F.col("terms"))
+        return shared(texts.select("qid", "uid", "length", F.size(here).cast("long").alias("tf")).where("tf > 0"), places)
+
+    def _voted(self, queries: DataFrame) -> DataFrame:
+        """(qid, uid, tf) from postings."""
         wanted = queries.where(F.size("terms") > 0).select("qid", "terms", F.posexplode("terms").alias("i", "term"))
         often = self.postings.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
         rarest = wanted.join(often, "term", "left").groupBy("qid").agg(F.min_by(F.struct("term", "i", "terms"), F.struct(F.coalesce("n", F.lit(0)), "i")).alias("r")).select("qid", "r.*")
@@ -118,10 +153,7 @@ class Index:
         alone = rest.where("i = known").select("qid", "uid", "start", "k")
         others = rest.where("i <> known").select("qid", "uid", "start", "k", "term", (F.col("start") + F.col("i")).alias("pos"))
         found = alone.union(others.join(self.postings, ["uid", "pos", "term"]).select("qid", "uid", "start", "k"))
-        hits = found.groupBy("qid", "uid", "start", "k").count().where("count = k").groupBy("qid", "uid").agg(F.count("*").alias("tf"))
-        frequency = hits.groupBy("qid").agg(F.count("*").alias("df"))
-        df = hits.join(frequency, "qid").join(self.lengths, "uid").crossJoin(F.broadcast(self.stats))
-        return df.select("qid", "uid", (idf(F.col("n"), F.col("df")) * weight(F.col("tf"), F.col("length"), F.col("average"))).alias("score"))
+        return found.groupBy("qid", "uid", "start", "k").count().where("count = k").groupBy("qid", "uid").agg(F.count("*").alias("tf"))
 
 
 def top_per_query(scored: DataFrame, k: int, tie: str = "uid") -> DataFrame:

@@ -87,6 +87,12 @@ def shared(df: DataFrame, *done: DataFrame) -> DataFrame:
     return out
 
 
+def put(df: DataFrame, path: str) -> None:
+    """Write df where a caller wants it; shuffle files of the write go when it ends."""
+    with _settings(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete intermediate tables that nothing needs any more."""
     for table in tables:
